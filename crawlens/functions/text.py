@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlens.functions.url import let
+from crawlens.functions.url import let, trim_ws
 
 # Turkish letters and their ASCII counterparts.
 _TR_LETTERS, _TR_ASCII = "çğıöşüâîû", "cgiosuaiu"
@@ -53,8 +53,9 @@ def word_count(x: Column) -> Column:
 
 
 def invariant_lower(x: Column) -> Column:
-    """Lower case where the dotted capital I keeps one character."""
-    return F.lower(F.replace(x, F.lit("İ"), F.lit("i̇")))
+    """Culture-free lower case: the dotted capital İ has no counterpart and stays."""
+    kept = F.replace(F.lower(F.replace(x, F.lit("İ"), F.lit("\ue000"))), F.lit("\ue000"), F.lit("İ"))
+    return F.when(F.contains(x, F.lit("İ")), kept).otherwise(F.lower(x))
 
 
 def turkish_lower(x: Column) -> Column:
@@ -85,8 +86,8 @@ _ACCENTS, _PLAIN = _accent_table()
 
 
 def fold_anchor(x: Column) -> Column:
-    """Lower-case anchor text reduced to letters, digits and spaces."""
-    lowered = F.translate(F.lower(F.translate(F.coalesce(x, F.lit("")), "İ", "i")), "ı", "i")
+    """Lower-case anchor text reduced to letters, digits and spaces (İ ends up as I)."""
+    lowered = F.translate(invariant_lower(trim_ws(F.coalesce(x, F.lit("")))), "ı", "i")
     plain = F.translate(lowered, _ACCENTS, _PLAIN)
     return F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{Nd} ]", ""))
 
@@ -138,12 +139,12 @@ def strip_emoji(x: Column) -> Column:
 
 def body_key(x: Column) -> Column:
     """Normal form under which two posts count as the same text."""
-    return F.lower(collapse_ws(x))
+    return invariant_lower(collapse_ws(x))
 
 
 def keyword_tokens(x: Column) -> Column:
     """Lower-case words of at least four letters that are no stop words."""
-    words = F.transform(F.split(F.coalesce(x, F.lit("")), WORD_BREAKS), lambda w: F.lower(w))
+    words = F.transform(F.split(F.coalesce(x, F.lit("")), WORD_BREAKS), invariant_lower)
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.filter(
         words, lambda w: (F.length(w) >= MIN_KEYWORD_LENGTH) & w.rlike(r"^\p{L}+$") & ~F.array_contains(stop, w)

@@ -17,7 +17,8 @@ MAX_BLOCKED = 100
 MAX_DEPTH = 4
 POOR_LCP_MS, POOR_CLS, POOR_INP_MS = 4000, 0.25, 500
 
-_ORDER = [F.col("fetch_seq"), F.col("url")]
+def _crawl_order() -> list[Column]:
+    return [F.col("fetch_seq"), F.col("url")]
 
 
 def no_index(robots_meta: Column) -> Column:
@@ -56,7 +57,7 @@ def _groups(pages: DataFrame, key: Column) -> DataFrame:
         F.count(F.lit(1)).alias("members"),
         F.min(F.struct("fetch_seq", "url", "page_id", F.col("_spelling").alias("spelling"))).alias("first"),
     ).where(F.col("members") > 1)
-    samples = sample_lists(keyed, ["crawl_id", "_key"], _ORDER, F.col("url"), MAX_SAMPLES, "samples")
+    samples = sample_lists(keyed, ["crawl_id", "_key"], _crawl_order(), F.col("url"), MAX_SAMPLES, "samples")
     return sizes.join(samples, ["crawl_id", "_key"]).withColumn("page_id", F.col("first.page_id"))
 
 

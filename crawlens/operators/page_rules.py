@@ -68,8 +68,8 @@ def _hierarchy() -> Column:
 
 
 def _generic_anchors() -> Column:
-    hits = F.array_distinct(
-        F.filter(F.transform("internal_anchor_texts", T.fold_anchor), lambda a: a.isin(GENERIC_ANCHORS))
+    hits = T.distinct_ci(
+        F.filter(F.transform("internal_anchor_texts", T.fold_anchor), lambda a: F.lower(a).isin(GENERIC_ANCHORS))
     )
     return U.let(
         hits,
