@@ -85,7 +85,7 @@ def audited(spark: SparkSession, sf_dir: str) -> Audit:
             pages(spark, sf_dir), links(spark, sf_dir), inputs.load(spark, sf_dir, "crawls0"),
             inputs.load(spark, sf_dir, "robots"), sitemaps(spark, sf_dir), crawl_vitals(spark, sf_dir),
         )
-        return Audit(result.pages, result.links, result.issues, cut(result.crawls, "crawls"), cut(result.blocked, "blocked"))
+        return Audit(result.pages, result.links, result.issues, cut(result.crawls, "crawls"), result.blocked)
 
     return once(spark, sf_dir, "audit", make)
 

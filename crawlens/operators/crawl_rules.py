@@ -35,11 +35,10 @@ def rule_pages(pages: DataFrame) -> DataFrame:
 
 
 def _finding(df: DataFrame, code: str, found: Column, samples: Column | None, page_id: str = "page_id") -> DataFrame:
+    category, severity, weight = catalogue.rule_constants(code)
     return df.select(
         "crawl_id", F.col(page_id).alias("page_id"), F.lit(code).alias("rule_code"),
-        catalogue.rule_attribute(F.lit(code), "category").alias("category"),
-        catalogue.rule_attribute(F.lit(code), "severity").alias("severity"),
-        catalogue.rule_attribute(F.lit(code), "weight").cast("int").alias("weight"),
+        F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(weight).alias("weight"),
         found.alias("found"),
         (samples if samples is not None else F.array().cast("array<string>")).alias("sample_urls"),
     )
@@ -169,17 +168,18 @@ def poor_vitals(vitals: DataFrame, homes: DataFrame) -> DataFrame:
          F.concat(F.lit("INP "), fixed(F.col("inp"), 0), F.lit(" ms — 500 ms esiginin uzerinde."))),
     ]
     rows = vitals.join(homes.select("crawl_id", "page_id"), "crawl_id")
-    fired = F.filter(
-        F.array(*[F.struct(F.lit(code).alias("code"), F.when(bad, text).alias("found")) for code, bad, text in checks]),
-        lambda f: f["found"].isNotNull(),
-    )
-    flat = rows.select("crawl_id", "page_id", F.explode(fired).alias("f"))
-    return flat.select(
-        "crawl_id", "page_id", F.col("f.code").alias("rule_code"),
-        catalogue.rule_attribute(F.col("f.code"), "category").alias("category"),
-        catalogue.rule_attribute(F.col("f.code"), "severity").alias("severity"),
-        catalogue.rule_attribute(F.col("f.code"), "weight").cast("int").alias("weight"),
-        F.col("f.found").alias("found"), F.array().cast("array<string>").alias("sample_urls"),
+    candidates = []
+    for code, bad, text in checks:
+        category, severity, weight = catalogue.rule_constants(code)
+        candidates.append(
+            F.struct(
+                F.lit(code).alias("rule_code"), F.lit(category).alias("category"), F.lit(severity).alias("severity"),
+                F.lit(weight).alias("weight"), F.when(bad, text).alias("found"),
+            )
+        )
+    fired = F.filter(F.array(*candidates), lambda f: f["found"].isNotNull())
+    return rows.select("crawl_id", "page_id", F.explode(fired).alias("f")).select(
+        "crawl_id", "page_id", "f.*", F.array().cast("array<string>").alias("sample_urls")
     )
 
 

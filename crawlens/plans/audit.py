@@ -86,9 +86,9 @@ def audit_tables(
             standard = sites.join(own, "site_id", "left_anti").select(
                 "site_id", F.concat("base_url", F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(0).alias("n")
             )
-            listed = S.sitemap_pages(sitemaps, roots.unionByName(standard), sites)
+            listed = cut(S.sitemap_pages(sitemaps, roots.unionByName(standard), sites), "listed")
         asked = frontier.blockable_urls(links_, crawls, pages, listed)
-        blocked = frontier.blocked_urls(asked, robots, settings)
+        blocked = cut(frontier.blocked_urls(asked, robots, settings), "blocked")
     whole = crawl_rules.crawl_findings(graph, resolved, homes, listed, blocked, vitals)
 
     counted = crawls.join(

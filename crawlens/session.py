@@ -13,6 +13,8 @@ DEFAULTS = {
     # executor memory and spread a hot file over many tasks.
     "spark.sql.files.maxPartitionBytes": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No Python call site per expression: building wide plans gets several times faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

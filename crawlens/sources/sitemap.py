@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlens.functions import text as T
 from crawlens.functions import url as U
+from crawlens.scale import cut
 
 MAX_LEVELS = 3
 MAX_URLS = 50_000
@@ -32,7 +33,8 @@ def listed_urls(sitemaps: DataFrame, roots: DataFrame) -> DataFrame:
     The cap is applied to whole documents by running totals of their sizes, so
     single URLs are never ranked.
     """
-    docs = _parsed(sitemaps)
+    # Every level reads the documents again: parse them once.
+    docs = cut(_parsed(sitemaps), "sitemaps")
     level = roots.select(
         "site_id", "sitemap_url", F.struct(F.col("n").alias("root"), F.array().cast("array<int>").alias("path")).alias("at")
     )
