@@ -424,7 +424,7 @@ def audit_issues(spark, sf):
 
 @query(
     "audit_crawls",
-    sql("""SELECT c.crawl_id, c.status, c.pages_crawled, c.overall_score, (SELECT count(*) FROM issues i WHERE i.crawl_id = c.crawl_id) AS issues FROM crawls c"""),
+    sql("""SELECT c.crawl_id, c.status, c.pages_crawled, c.overall_score, i.n AS issues FROM crawls c JOIN (SELECT crawl_id, count(*) AS n FROM issues GROUP BY 1) i ON i.crawl_id = c.crawl_id"""),
 )
 def audit_crawls(spark, sf):
     crawls = stage.audited(spark, sf).crawls

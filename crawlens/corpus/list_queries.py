@@ -283,8 +283,9 @@ def crawl_compare_scores(spark, sf):
 @query(
     "dashboard_sites",
     sql("""SELECT s.tenant_id, s.site_id, s.name, s.is_active, b.crawl_id AS last_crawl_id, b.status AS last_status, b.overall_score AS last_score, (b.o100 - a.o100) / 100.0 AS score_delta,
-    CAST(coalesce(b.finished_at, b.started_at, b.created_at) AS VARCHAR) AS last_time, (SELECT count(*) FROM issues i WHERE i.crawl_id = b.crawl_id) AS issues
-    FROM sites s JOIN crawls b ON b.site_id = s.site_id AND b.crawl_no = 2 JOIN crawls a ON a.site_id = s.site_id AND a.crawl_no = 1"""),
+    CAST(coalesce(b.finished_at, b.started_at, b.created_at) AS VARCHAR) AS last_time, i.n AS issues
+    FROM sites s JOIN crawls b ON b.site_id = s.site_id AND b.crawl_no = 2 JOIN crawls a ON a.site_id = s.site_id AND a.crawl_no = 1
+    JOIN (SELECT crawl_id, count(*) AS n FROM issues GROUP BY 1) i ON i.crawl_id = b.crawl_id"""),
 )
 def dashboard_sites(spark, sf):
     cards = compare.site_cards(inputs.load(spark, sf, "sites"), _crawls(spark, sf))
