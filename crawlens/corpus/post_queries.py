@@ -172,11 +172,10 @@ def _keyword_sql(source: str, key: str, text: str) -> str:
       FROM (SELECT {key}, unnest({_words(f'lower(substr({text}, 1, 2000))')}) AS word FROM {source}) w GROUP BY {key}, word) x WHERE rn <= 4 GROUP BY {key}"""
 
 
-@query("keywords", _keyword_sql("documents", "doc_id", "text"))
+@query("keywords", f"SELECT d.doc_id, coalesce(k.keywords, '') AS keywords FROM documents d LEFT JOIN ({_keyword_sql('documents', 'doc_id', 'text')}) k ON k.doc_id = d.doc_id")
 def keywords(spark, sf):
     """Keywords look at the first 2000 characters of a page by definition."""
-    rows = headlines.page_keywords(_documents(spark, sf))
-    return rows.select(F.col("page_id").cast("bigint").alias("doc_id"), F.array_join("keywords", "|").alias("keywords"))
+    return _documents(spark, sf).select("doc_id", F.array_join(headlines.page_keywords(), "|").alias("keywords"))
 
 
 _HEADING = f"coalesce({_headline()}, og_title)"
@@ -194,8 +193,7 @@ _SUBJECT = f"""CASE WHEN head IS NULL AND ctx IS NULL THEN '{headlines.FALLBACK_
         g=_G, kw=_keyword_sql("(SELECT crawl_id || ' ' || url AS k, main_text FROM g) gg", "k", "main_text")),
 )
 def image_briefs(spark, sf):
-    pages = _pages(spark, sf)
-    return headlines.image_briefs(pages, headlines.page_keywords(pages)).select("crawl_id", "url", "image_brief", "image_alt")
+    return headlines.image_briefs(_pages(spark, sf)).select("crawl_id", "url", "image_brief", "image_alt")
 
 
 @query(
@@ -261,11 +259,10 @@ _TAG = f"regexp_replace(translate({_tr_lower('word')}, 'çğıöşüâ', 'cgiosu
       UNION ALL SELECT doc_id, 2, -n, word, '#' || {_TAG} FROM tw WHERE length({_TAG}) >= 4),
     once AS (SELECT e.doc_id, b.lim, arg_min(tag, (tier, o1, o2)) AS tag, min((tier, o1, o2)) AS o FROM every e JOIN base b ON b.doc_id = e.doc_id
       WHERE NOT (b.lang = 'en' AND contains({_tr_lower('tag')}, 'the')) GROUP BY e.doc_id, b.lim, lower(tag))
-    SELECT doc_id, array_to_string(list_slice(list(tag ORDER BY o), 1, lim), ' ') AS hashtags FROM once GROUP BY doc_id, lim""",
+    SELECT b.doc_id, coalesce(t.hashtags, '') AS hashtags FROM base b LEFT JOIN (SELECT doc_id, array_to_string(list_slice(list(tag ORDER BY o), 1, lim), ' ') AS hashtags FROM once GROUP BY doc_id, lim) t ON t.doc_id = b.doc_id""",
 )
 def hashtags(spark, sf):
-    rows = posts.hashtags(_doc_posts(spark, sf), ["doc_id"])
-    return rows.select("doc_id", F.array_join("hashtags", " ").alias("hashtags"))
+    return posts.with_hashtags(_doc_posts(spark, sf)).select("doc_id", F.array_join("hashtags", " ").alias("hashtags"))
 
 
 _PASSES = f"""CASE WHEN lang = 'fr' THEN NOT (contains({_tr_lower("regexp_replace(body, '\\s+', ' ', 'g')")}, 'eau mentle') OR contains({_tr_lower("regexp_replace(body, '\\s+', ' ', 'g')")}, 'de la')) ELSE true END"""
@@ -439,11 +436,11 @@ def page_jobs(spark, sf):
     "batch_jobs",
     sql("""SELECT crawl_id || '/' || k AS request_id, page_id, CASE WHEN n > 50 THEN 'too many pages' END AS error FROM (
     SELECT DISTINCT crawl_id, k, page_id, count(DISTINCT page_id) OVER (PARTITION BY crawl_id, k) AS n FROM (
-      SELECT crawl_id, idx % 2 AS k, sha256(crawl_id || '|' || url) AS page_id FROM facts) a) b"""),
+      SELECT crawl_id, idx // 60 AS k, sha256(crawl_id || '|' || url) AS page_id FROM facts) a) b"""),
 )
 def batch_jobs(spark, sf):
-    """Each crawl asks for its odd and its even pages, every page twice; large requests are rejected."""
-    pages = _pages(spark, sf).select("crawl_id", (F.col("idx") % 2).alias("k"), "page_id")
+    """Each crawl asks for its pages sixty at a time, every page twice; requests over the limit are rejected."""
+    pages = _pages(spark, sf).select("crawl_id", F.floor(F.col("idx") / 60).alias("k"), "page_id")
     requests = pages.unionByName(pages).groupBy(F.concat("crawl_id", F.lit("/"), F.col("k").cast("string")).alias("request_id")).agg(F.collect_list("page_id").alias("page_ids"))
     return content.batch_jobs(requests).select("request_id", "page_id", "error")
 

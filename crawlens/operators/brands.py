@@ -132,19 +132,13 @@ def set_defaults(profiles: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests(brand_id, requested_at)``; the scope is (tenant, site or none) and
     the newest request of a scope wins.
     """
-    asked = profiles.select("brand_id", "tenant_id", "site_id").join(requests, "brand_id")
-    winners = asked.groupBy("tenant_id", "site_id").agg(
+    asked = requests.join(profiles.select("brand_id", "tenant_id", "site_id"), "brand_id")
+    winners = asked.groupBy(F.col("tenant_id").alias("_tenant"), F.col("site_id").alias("_site")).agg(
         F.max(F.struct("requested_at", "brand_id"))["brand_id"].alias("_default")
     )
-    same = profiles["tenant_id"].eqNullSafe(winners["tenant_id"]) & profiles["site_id"].eqNullSafe(winners["site_id"])
-    return (
-        profiles.join(winners, same, "left")
-        .select(
-            *[profiles[c] for c in profiles.columns if c != "is_default"],
-            F.when(F.col("_default").isNull(), profiles["is_default"])
-            .otherwise(profiles["brand_id"] == F.col("_default")).alias("is_default"),
-        )
-    )
+    same = F.col("tenant_id").eqNullSafe(F.col("_tenant")) & F.col("site_id").eqNullSafe(F.col("_site"))
+    chosen = F.when(F.col("_default").isNull(), F.col("is_default")).otherwise(F.col("brand_id") == F.col("_default"))
+    return profiles.join(winners, same, "left").withColumn("is_default", chosen).select(*profiles.columns)
 
 
 def resolve_brands(jobs: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from crawlens.functions import text as T
 from crawlens.functions import url as U
 from crawlens.operators.selection import og_value
-from crawlens.scale import sample_lists
 
 MAX_SUBJECT, KEYWORDS, SCANNED_CHARS = 180, 4, 2000
 MAX_HEADLINE, MAX_BRAND_LINE, MIN_SUBLINE, MAX_SUBLINE = 60, 40, 20, 140
@@ -68,27 +67,23 @@ def context() -> Column:
     )
 
 
-def page_keywords(pages: DataFrame) -> DataFrame:
-    """(crawl_id, page_id, keywords): the four most frequent words of the first 2000 characters.
+def page_keywords() -> Column:
+    """The four most frequent words of the first 2000 characters of ``main_text``.
 
-    A text window of 2000 characters bounds the words per page.
+    The scanned stretch is part of the definition and bounds the word list, so
+    words are counted inside the row.
     """
-    words = pages.select(
-        "crawl_id", "page_id", F.explode(T.keyword_tokens(F.substring("main_text", 1, SCANNED_CHARS))).alias("word")
-    )
-    counts = words.groupBy("crawl_id", "page_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    return sample_lists(
-        counts, ["crawl_id", "page_id"], [F.col("n").desc(), F.col("word")], F.col("word"), KEYWORDS, "keywords"
-    )
+    words = T.keyword_tokens(F.substring("main_text", 1, SCANNED_CHARS))
+    return F.slice(T.by_frequency(words), 1, KEYWORDS)
 
 
-def image_briefs(pages: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Adds ``image_brief`` and ``image_alt``."""
+def image_briefs(pages: DataFrame) -> DataFrame:
+    """Adds ``keywords``, ``image_brief`` and ``image_alt``."""
     bare = lambda x: T.rtrim_chars(x, r".!? …")
     clip = lambda x: F.when(F.length(x) <= MAX_SUBJECT, x).otherwise(
         F.regexp_replace(F.substring(x, 1, MAX_SUBJECT), r"(?U)\s+$", "")
     )
-    named = pages.join(keywords, ["crawl_id", "page_id"], "left").withColumns({"_h": heading(), "_c": context()})
+    named = pages.withColumns({"keywords": page_keywords(), "_h": heading(), "_c": context()})
     subject = (
         F.when(F.col("_h").isNull() & F.col("_c").isNull(), F.lit(FALLBACK_SUBJECT))
         .when(F.col("_h").isNull(), clip(F.col("_c")))

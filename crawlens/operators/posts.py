@@ -10,6 +10,7 @@ from crawlens.functions import text as T
 from crawlens.functions import url as U
 from crawlens.operators import brands
 from crawlens.operators.headlines import meaningful_headline
+from crawlens.scale import cut
 
 DEFAULT_MAX_CHARS, MAX_VALUE, MAX_TAGS, TAG_TEXT_CHARS = 1000, 400, 8, 1500
 SHORT_HEADING, HOOKS, SENTENCES_PER_VALUE, MIN_SENTENCE = 45, 3, 2, 30
@@ -165,36 +166,24 @@ def _split_template(text: str) -> list[str]:
     return [p for p in (before, mark, after) if p]
 
 
-def hashtags(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hashtags): brand defaults, heading words, then text words by frequency.
+def with_hashtags(rows: DataFrame) -> DataFrame:
+    """Adds ``hashtags``: brand defaults, heading words, then text words by frequency.
 
-    At most min(platform limit, 8). Words come from the heading and 1500
-    characters of text, so the candidates per row are bounded.
+    At most min(platform limit, 8); banned and repeated tags are left out. Words
+    come from the heading and 1500 characters of text, so everything stays in
+    the row.
     """
     limit = F.least(F.coalesce("max_hashtags", F.lit(MAX_TAGS)), F.lit(MAX_TAGS))
     default = F.transform(
         F.coalesce("default_hashtags", F.array().cast("array<string>")),
         lambda t: F.concat(F.lit("#"), F.replace(F.regexp_replace(U.trim_ws(t), "^#+", ""), F.lit(" "), F.lit(""))),
     )
-    text_words = T.hashtag_words(F.col("p_tag_text"))
-    base = rows.select(*keys, limit.alias("_limit"), "banned_phrases", default.alias("_d"),
-                       T.hashtag_words(F.col("p_heading")).alias("_h"), text_words.alias("_t"))
-    base = base.where(F.col("_limit") > 0)
-    carry = [*keys, "_limit", "banned_phrases"]
-    fixed = base.select(*carry, F.posexplode("_d").alias("pos", "tag")).select(*carry, F.lit(0).alias("tier"), F.col("pos").cast("long").alias("o1"), F.lit("").alias("o2"), "tag")
-    headed = base.select(*carry, F.posexplode("_h").alias("pos", "word")).select(*carry, F.lit(1).alias("tier"), F.col("pos").cast("long").alias("o1"), F.lit("").alias("o2"), T.hashtag(F.col("word")).alias("tag"))
-    counted = (
-        base.select(*carry, F.posexplode("_t").alias("pos", "word"))
-        .groupBy(*carry, F.lower("word").alias("low"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "word")).alias("f"))
-        .select(*carry, F.lit(2).alias("tier"), (-F.col("n")).alias("o1"), F.col("f.word").alias("o2"), T.hashtag(F.col("f.word")).alias("tag"))
+    words = F.concat(T.hashtag_words(F.col("p_heading")), T.by_frequency(T.hashtag_words(F.col("p_tag_text"))))
+    usable = F.filter(
+        F.concat(default, F.transform(words, T.hashtag)),
+        lambda t: t.isNotNull() & (F.length(t) > 1) & ~brands.is_banned_tag(t, F.col("banned_phrases")),
     )
-    every = fixed.unionByName(headed).unionByName(counted).where(
-        F.col("tag").isNotNull() & (F.length("tag") > 1) & ~brands.is_banned_tag(F.col("tag"), F.col("banned_phrases"))
-    )
-    once = every.groupBy(*keys, "_limit", F.lower("tag").alias("low")).agg(F.min(F.struct("tier", "o1", "o2", "tag")).alias("b"))
-    ordered = once.groupBy(*keys, "_limit").agg(F.array_sort(F.collect_list("b")).alias("b"))
-    return ordered.select(*keys, F.transform(F.slice("b", F.lit(1), F.col("_limit")), lambda b: b["tag"]).alias("hashtags"))
+    return rows.withColumn("hashtags", F.slice(T.distinct_ci(usable), F.lit(1), F.greatest(limit, F.lit(0))))
 
 
 def post_jobs(selected: DataFrame, platform_codes: list[str]) -> DataFrame:
@@ -231,7 +220,10 @@ def unique_posts(jobs: DataFrame, known: DataFrame) -> DataFrame:
     null body. ``known(site_id, body_key)``. The probe key holds the text hash,
     so a site with a huge history still spreads over all tasks.
     """
-    tries = jobs.withColumn("start_index", F.col("post_index")).withColumn(
+    # Page texts are split once per page, before the attempts multiply the rows.
+    jobs = cut(jobs, "post-jobs")
+    tasks = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tries = jobs.repartition(tasks, "job_id").withColumn("start_index", F.col("post_index")).withColumn(
         "attempt", F.explode(F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)))
     ).withColumn("post_index", F.col("start_index") + F.col("attempt"))
     built = brands.guard(template_posts(tries).withColumn("hashtags", F.array().cast("array<string>")))
