@@ -227,14 +227,15 @@ def unique_posts(jobs: DataFrame, known: DataFrame) -> DataFrame:
         "attempt", F.explode(F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)))
     ).withColumn("post_index", F.col("start_index") + F.col("attempt"))
     built = brands.guard(template_posts(tries).withColumn("hashtags", F.array().cast("array<string>")))
-    candidates = built.where("passes").select(
-        "job_id", "site_id", "attempt", "post_index", "angle", "body", "cta", "description", "char_count"
+    # Rejected texts are left out inside the aggregate: a filter would be pushed
+    # below the projections and evaluate every text twice.
+    candidates = built.select(
+        "job_id", "site_id", "attempt", "post_index", "angle", "body", "cta", "description", "char_count", "passes"
     ).withColumn("body_hash", F.sha2(T.body_key(F.col("body")), 256))
     seen = known.select("site_id", F.sha2("body_key", 256).alias("body_hash"), F.lit(True).alias("_known")).distinct()
     ranked = candidates.join(seen, ["site_id", "body_hash"], "left").withColumn("repeated", F.coalesce("_known", F.lit(False)))
-    best = ranked.groupBy("job_id").agg(
-        F.min(F.struct("repeated", "attempt", "post_index", "angle", "body", "cta", "description", "char_count")).alias("b")
-    )
+    row = F.struct("repeated", "attempt", "post_index", "angle", "body", "cta", "description", "char_count")
+    best = ranked.groupBy("job_id").agg(F.min(F.when(F.col("passes"), row)).alias("b"))
     return jobs.drop("post_index").join(best, "job_id", "left").select(
         *[c for c in jobs.columns if c != "post_index"], "b.repeated", "b.attempt", "b.post_index", "b.angle", "b.body",
         "b.cta", "b.description", "b.char_count",

@@ -16,6 +16,8 @@ DEFAULTS = {
     # No Python call site per expression: building wide plans gets several times faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # Top-n per key is cut before the shuffle for budgets and pages of this size too.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
