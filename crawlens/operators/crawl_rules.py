@@ -47,17 +47,18 @@ def _finding(df: DataFrame, code: str, found: Column, samples: Column | None, pa
 def _groups(pages: DataFrame, key: Column) -> DataFrame:
     """Groups of two or more pages: size, first member, ten sample URLs.
 
-    The size and the first member are plain aggregates (combined map-side) and
-    the samples come from a group-limited window, so a group that holds a third
-    of all pages is never gathered in one task.
+    The size is a hash aggregate combined map-side; first member and samples come
+    from a group-limited window, so a group that holds a third of all pages is
+    never gathered in one task.
     """
     keyed = pages.withColumn("_key", key)
-    sizes = keyed.groupBy("crawl_id", "_key").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.min(F.struct("fetch_seq", "url", "page_id", F.col("_spelling").alias("spelling"))).alias("first"),
-    ).where(F.col("members") > 1)
-    samples = sample_lists(keyed, ["crawl_id", "_key"], _crawl_order(), F.col("url"), MAX_SAMPLES, "samples")
-    return sizes.join(samples, ["crawl_id", "_key"]).withColumn("page_id", F.col("first.page_id"))
+    sizes = keyed.groupBy("crawl_id", "_key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    member = F.struct("url", "page_id", F.col("_spelling").alias("spelling"))
+    heads = sample_lists(keyed, ["crawl_id", "_key"], _crawl_order(), member, MAX_SAMPLES, "heads")
+    return sizes.join(heads, ["crawl_id", "_key"]).select(
+        "crawl_id", "_key", "members", F.col("heads")[0].alias("first"), F.col("heads")[0]["page_id"].alias("page_id"),
+        F.transform("heads", lambda m: m["url"]).alias("samples"),
+    )
 
 
 def duplicate_content(pages: DataFrame) -> DataFrame:

@@ -29,3 +29,11 @@ def build_session(app: str = "crawlens", master: str | None = None, **conf: str)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere the settings that can change at run time; values set there are kept."""
+    for key in ("spark.sql.optimizer.windowGroupLimitThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, DEFAULTS[key])
+    return spark
