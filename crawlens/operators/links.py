@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlens.scale import HOT_KEY_ROWS, cut, spread_lookup
+from crawlens.scale import cut, spread_lookup
 
 MAX_REDIRECT_HOPS = 5
 
@@ -28,7 +28,7 @@ def redirect_targets(pages: DataFrame) -> DataFrame:
     return reached
 
 
-def resolve_links(links: DataFrame, pages: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds ``to_page_id`` (null when the target was not crawled or is external).
 
     Navigation targets collect most links of a site; those keys are salted.
@@ -39,7 +39,7 @@ def resolve_links(links: DataFrame, pages: DataFrame, hot_rows: int = HOT_KEY_RO
         .join(final, ["crawl_id", "page_id"], "left")
         .select("crawl_id", "to_hash", F.coalesce("final_id", "page_id").alias("_target"))
     )
-    joined = spread_lookup(links, targets, ["crawl_id", "to_hash"], F.col("from_page_id"), "left", hot_rows)
+    joined = spread_lookup(links, targets, ["crawl_id", "to_hash"], F.col("from_page_id"), "left")
     return joined.withColumn("to_page_id", F.when(F.col("is_internal"), F.col("_target"))).drop("_target")
 
 

@@ -9,10 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this on the many-side of a lookup join is split.
-HOT_KEY_ROWS = 1_000_000
-# Upper bound for the list of hot keys, so that broadcasting it is always safe.
-MAX_HOT_KEYS = 10_000
+# A key that holds more than one in so many rows is hot. There are at most so many
+# hot keys, whatever the data: that bounds the list of them, which is broadcast.
+HOT_SHARE = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,25 +73,23 @@ def spread_lookup(
     keys: Sequence[str],
     spread_by: Column,
     how: str = "left",
-    hot_rows: int = HOT_KEY_ROWS,
+    also: Sequence[str] = (),
+    sizes: DataFrame | None = None,
+    share: int = HOT_SHARE,
 ) -> DataFrame:
-    """Equi-join ``facts`` with ``lookup`` (unique on ``keys``) with hot keys split.
+    """Equi-join ``facts`` with ``lookup`` with hot keys split.
 
-    Keys that occur more than ``hot_rows`` times in ``facts`` get as many salts
-    as they need; only their lookup rows are repeated. The list of hot keys is
-    limited to MAX_HOT_KEYS rows, which bounds the broadcast; a key beyond the
-    list is still joined, without a salt.
+    A key that holds more than one in ``share`` rows of ``facts`` gets as many
+    salts as it holds shares; only its lookup rows are repeated. Fewer than
+    ``share`` keys can be hot, so the broadcast list of them is bounded.
+    ``sizes`` (keys and ``n``) saves counting ``facts`` where the counts are known;
+    ``also`` names further columns that must be equal.
     """
     keys = list(keys)
-    hot = (
-        facts.where(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
-    )
+    if sizes is None:
+        sizes = facts.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n")).scalar()
+    hot = sizes.where(F.col("n") * F.lit(share) > total).select(*keys, F.ceil(F.col("n") * F.lit(share) / total).cast("int").alias("_salts"))
     salted_facts = (
         facts.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")), F.lit(0)).cast("int"))
@@ -103,4 +100,4 @@ def spread_lookup(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    return salted_facts.join(salted_lookup, [*keys, *also, "_salt"], how).drop("_salt")

@@ -94,9 +94,9 @@ def test_hot_keys_are_split_without_losing_rows(spark):
     facts = spark.range(1000).select(F.when(F.col("id") < 700, F.lit("hot")).when(F.col("id") < 990, F.concat(F.lit("k"), F.col("id") % 7)).alias("k"), "id")
     lookup = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(5)]], "k string, v int")
     plain = {tuple(r) for r in facts.join(lookup, "k", "left").select("id", "k", "v").collect()}
-    spread = spread_lookup(facts, lookup, ["k"], F.col("id"), hot_rows=50).select("id", "k", "v").collect()
+    spread = spread_lookup(facts, lookup, ["k"], F.col("id"), share=50).select("id", "k", "v").collect()
     assert len(spread) == 1000 and {tuple(r) for r in spread} == plain
-    inner = spread_lookup(facts, lookup, ["k"], F.col("id"), "inner", 50).count()
+    inner = spread_lookup(facts, lookup, ["k"], F.col("id"), "inner", share=50).count()
     assert inner == facts.join(lookup, "k").count()
 
 
