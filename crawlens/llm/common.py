@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (makes pa.compute known)
@@ -58,28 +58,24 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str, max_chars: int
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 4096) -> DataFrame:
-    """``out``: the sum of ``value`` over earlier rows of the same keys, by the integer ``order``, in two levels.
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 4096, ties: Sequence[str] = ()) -> DataFrame:
+    """``out``: the sum of ``value`` over earlier rows of the same keys, by the integer ``order`` and then ``ties``.
 
-    Rows are summed per block of ``order`` first (combined before the shuffle), blocks are then added up, and each
-    block adds up its own rows. No task sees all rows of a key, only one row for each of its blocks. ``order`` must
-    not repeat within a key.
+    In two levels: rows are summed per block of ``order`` first (combined before the shuffle), blocks are then added
+    up, and each block adds up its own rows. No task sees all rows of a key, only one row for each of its blocks.
+    Null keys and orders are values like others, a null order comes first.
     """
     blocked = df.withColumn("_block", F.floor(F.col(order) / block))
     sums = blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
-    bases = sums.withColumn(
-        "_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_sum")
-    within = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("__block"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*keys, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     local = blocked.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    same = [local[k].eqNullSafe(bases[k]) for k in keys] + [local["_block"] == bases["_block"]]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    joined = local.join(bases, condition, "left")
-    for k in [*keys, "_block"]:
-        joined = joined.drop(bases[k])
-    return joined.withColumn(out, F.col("_base") + F.col("_local")).drop("_block", "_base", "_local")
+    same = F.col("_block").eqNullSafe(F.col("__block"))
+    for k in keys:
+        same = same & local[k].eqNullSafe(bases[f"_{k}"])
+    joined = local.join(bases, same, "left").withColumn(out, F.col("_base") + F.col("_local"))
+    return joined.drop("_block", "__block", "_base", "_local", *[f"_{k}" for k in keys])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """The registered queries of the training-data operators."""
 
-from crawlens.llm import chunk_dedup, packing, pii, simhash, url_filter, warc  # noqa: F401
+from crawlens.llm import chat, chunk_dedup, packing, pii, simhash, url_filter, warc  # noqa: F401
 from crawlens.llm.common import ORACLES, QUERIES  # noqa: F401
