@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlens.llm.common import query, table
@@ -38,19 +38,32 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(body)) + body
 
 
-def frames_of(bundle: bytes) -> list[tuple[int, int, int]]:
-    """(offset, compressed bytes, decoded bytes) of a bundle's frames, from its seek table alone."""
-    count, flags, magic = struct.unpack("<IBI", bundle[-9:])
+def frames_of(tail: bytes) -> list[tuple[int, int, int]]:
+    """(offset, compressed bytes, decoded bytes) of a bundle's frames; ``tail`` is its end, with the whole seek table."""
+    count, flags, magic = struct.unpack("<IBI", tail[-9:])
     if magic != SEEKABLE:
         raise ValueError("no seek table")
     width = 12 if flags & 0x80 else 8
     at, out = 0, []
-    for size, decoded in (struct.unpack_from("<II", bundle, len(bundle) - 9 - width * (count - i)) for i in range(count)):
+    for size, decoded in (struct.unpack_from("<II", tail, len(tail) - 9 - width * (count - i)) for i in range(count)):
         out.append((at, size, decoded))
         at += size
     return out
 
 
+def open_frames(file) -> Iterator[bytes]:
+    """The decoded frames of an open bundle, one at a time."""
+    size = file.size()
+    file.seek(size - 9)
+    count, flags, _ = struct.unpack("<IBI", file.read(9))
+    table = 9 + (12 if flags & 0x80 else 8) * count
+    file.seek(size - table)
+    decoder = zstandard.ZstdDecompressor()
+    for at, packed, decoded in frames_of(file.read(table)):
+        file.seek(at)
+        yield decoder.decompress(file.read(packed), max_output_size=decoded)
+
+
 def record(page_id, rank: int, key: str, url: str | None, payload: bytes, refers_to, date: str) -> bytes:
     """One WARC record; ``refers_to`` is the (page id, rank) of the response that a revisit stands for, or None."""
     name = lambda i, r: f"<urn:page:{'' if i is None else i}:{key[:16]}:{r}>"
@@ -181,38 +194,36 @@ def write_archives(
     return cut(ready.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(run, schema), "warc-index")
 
 
-def read_archives(spark: SparkSession, folder: str, index: DataFrame | None = None) -> DataFrame:
-    """The records of the bundles in ``folder``: page_id, record_type, refers_to, payload_bytes, payload_digest, payload.
+def read_archives(folder: str, index: DataFrame, tasks: int = 10_000) -> DataFrame:
+    """The records of the bundles that ``index`` names: page_id, record_type, refers_to, payload_bytes, payload_digest, payload.
 
-    With ``index``, files that it doesn't name (of attempts that were not committed) are passed over. A response's
+    The bundles are dealt to up to ``tasks`` tasks by name; a task holds one decoded frame at a time. A response's
     length and digest are taken from its payload and held against its headers; a revisit has them from its headers.
     """
     schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    if index is not None:
-        named = index.select("file").distinct()
-        files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(named, "file", "left_semi")
+    names = index.select("file").distinct()
+    dealt = names.repartition(max(1, min(tasks, names.count())), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = zstandard.ZstdDecompressor()
+        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         page = lambda found: int(found.group(1)) if found and found.group(1) else None
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
-            for content in batch.column("content"):
-                bundle = content.as_py()
-                for at, size, decoded in frames_of(bundle):
-                    out = []
-                    for head, block in records_in(decoder.decompress(bundle[at : at + size], max_output_size=decoded)):
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        length = int(re.search(rb"Content-Length: (\d+)", http).group(1))
-                        kind, told = head[b"warc-type"].decode(), head[b"warc-payload-digest"].decode().removeprefix("sha1:")
-                        if kind == "response" and (len(payload) != length or digest(payload) != told):
-                            raise ValueError(f"damaged record {head[b'warc-record-id'].decode()}")
-                        refers = page(_ID.fullmatch(head.get(b"warc-refers-to", b"")))
-                        out.append((page(_ID.fullmatch(head[b"warc-record-id"])), kind, refers, length, told, payload if kind == "response" else None))
-                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
-
-    return files.select("content").mapInArrow(run, schema)
+            for name in batch.column("file").to_pylist():
+                with fs.open_input_file(f"{path}/{name}") as file:
+                    for frame in open_frames(file):
+                        out = []
+                        for head, block in records_in(frame):
+                            http, _, payload = block.partition(b"\r\n\r\n")
+                            length = int(re.search(rb"Content-Length: (\d+)", http).group(1))
+                            kind, told = head[b"warc-type"].decode(), head[b"warc-payload-digest"].decode().removeprefix("sha1:")
+                            if kind == "response" and (len(payload) != length or digest(payload) != told):
+                                raise ValueError(f"damaged record {head[b'warc-record-id'].decode()}")
+                            refers = page(_ID.fullmatch(head.get(b"warc-refers-to", b"")))
+                            out.append((page(_ID.fullmatch(head[b"warc-record-id"])), kind, refers, length, told, payload if kind == "response" else None))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def read_record(folder: str, file: str, frame_offset: int, frame_bytes: int, offset: int, length: int) -> bytes:
@@ -242,4 +253,4 @@ def op9_warc(spark, sf_dir):
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     index = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(spark, folder, index).drop("payload")
+    return read_archives(folder, index).drop("payload")
