@@ -18,6 +18,7 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,33 +32,78 @@ LEAST = 2
 # White space as the tokenizer knows it; Python's own split() knows four separators more.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _MORE_SPACE = re.compile("[\x1c-\x1f]")
+_LATIN = re.compile("[\x00-\xff]*")
+_ALPHABETS = re.compile("[\x00-\u024f]*")
+# Fixed value: the pattern by which the tokenizer splits words.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordEncoder:
-    """Token ids of texts, two bytes an id, by a tokenizer that never joins across white space.
+    """Token ids of texts, two bytes an id, by the tokenizer of words and signs at ``path``.
 
-    The ids of a word are kept for later texts, up to ``most`` words of up to 64 characters.
+    The tokenizer never joins across white space, and within a word it splits off signs and digits first. The ids of
+    words and of their pieces are kept for later texts, up to ``most`` of each and 64 characters. New pieces are
+    encoded many at a time; the ids that end a piece tell them apart.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids beyond 65535 don't fit two bytes")
-        self.most, self.known = most, {}
+        self.ends_piece = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.most, self.words, self.pieces = most, {}, {}
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        if _MORE_SPACE.search(text):
+            return [w for w in _SPACE.split(text) if w]
+        if text.isascii() or _LATIN.fullmatch(text):
+            text = text.lower()  # as the tokenizer does; elsewhere its rules may differ
+        return text.split()
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+        normal = self.tokenizer.normalizer.normalize_str
+        # The tables of letters that Python, the pattern and the tokenizer know agree on the Latin alphabets.
+        odd = [w for w in words if not w.isascii() and not _ALPHABETS.fullmatch(w)]
+        found = dict(zip(odd, (i.tobytes() for i in self._encoded(odd)))) if odd else {}
+        words = [w for w in words if w not in found] if odd else words
+        plain = [w if w == w.lower() and (w.isascii() or _LATIN.fullmatch(w)) else normal(w) for w in words]
+        split = [[w] if w.isalpha() else _PIECE.findall(w) for w in plain]
+        new = list(set().union(*split).difference(self.pieces))
+        if len(self.pieces) + len(new) > self.most:
+            self.pieces = {}
+            new = list(set().union(*split))
+        parts = [new[i : i + 200] for i in range(0, len(new), 200)]
+        for part, ids in zip(parts, self._encoded([" ".join(p) for p in parts])):
+            ends = np.flatnonzero(self.ends_piece[ids]) + 1
+            if len(ends) == len(part):
+                packed, at = ids.tobytes(), 0
+                for piece, end in zip(part, (2 * ends).tolist()):
+                    self.pieces[piece] = packed[at:end]
+                    at = end
+            else:
+                self.pieces |= {p: i.tobytes() for p, i in zip(part, self._encoded(part))}
+        known = self.pieces.__getitem__
+        found.update((w, known(p[0]) if len(p) == 1 else b"".join(map(known, p))) for w, p in zip(words, split))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[w for w in _SPACE.split(t) if w] if _MORE_SPACE.search(t) else t.split() for t in texts]
+        split = [self._split(t) for t in texts]
         words = set().union(*split)
-        new = list(words.difference(self.known))
-        found = {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))} if new else {}
-        if len(self.known) + len(found) > self.most:
-            found |= {w: self.known[w] for w in words if w in self.known}
-            self.known = {}
+        new = list(words.difference(self.words))
+        found = self._new_words(new) if new else {}
+        if len(self.words) + len(found) > self.most:
+            found |= {w: self.words[w] for w in words if w in self.words}
+            self.words = {}
         long = {w: found.pop(w) for w in new if len(w) > 64}
-        self.known |= found
-        ids = self.known if not long else {**self.known, **long}
+        self.words |= found
+        ids = {**self.words, **long} if long else self.words
         return [b"".join(map(ids.__getitem__, s)) for s in split]
 
 
