@@ -173,13 +173,13 @@ def licenses_in(text: str) -> list[tuple[str, int, int, int, float, list[str]]]:
             alone = _size(data)
             ranked = sorted(((t.saved(data, alone), i, t) for i, t in enumerate(group)), key=lambda x: (-x[0], x[1]))
             free = [True] * len(words)
-            for saved, _, template in ranked:
-                if saved < LEAST_SAVED * template.own:
-                    continue
+            likely = [(saved, t) for saved, _, t in ranked if saved >= LEAST_SAVED * t.own]
+            # Exact wordings go first, so that none is taken for another one with a word changed.
+            for saved, template, exact in [(*x, True) for x in likely] + [(*x, False) for x in likely]:
                 # The same template may stand in a block several times: what it has matched is taken out.
                 while True:
                     hit = wording(template, [w if f else "" for w, f in zip(words, free)])
-                    if hit is None:
+                    if hit is None or exact and hit[2]:
                         break
                     first, end, differences = hit
                     free[first:end] = [False] * (end - first)

@@ -128,7 +128,10 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
 
 class Mixture:
-    """Where each queue's tokens go: phases of the stream, each serving every queue a fixed number of tokens."""
+    """Where each queue's tokens go: phases of the stream, each serving every queue a fixed number of tokens.
+
+    A queue's weight must give it LEAST tokens a window, or be zero: smaller shares can't be told apart by rounding.
+    """
 
     def __init__(self, totals: list[int], weights: list[int], window: int = WINDOW):
         self.window = window
@@ -189,8 +192,8 @@ def pack(
     """Pieces of documents laid into windows: doc_id, source, start, length, ids (four bytes each, little-endian),
     doc_tokens, sequence_id, offset.
 
-    ``targets`` gives the wanted proportion of tokens of some sources; a source not named has none and is served when
-    the others have run dry. Without targets each source has its share of all tokens, so that every window holds the
+    ``targets`` gives the wanted proportion of tokens of some sources; a source not named, or with less than LEAST
+    tokens a window, has none and is served when the others have run dry. Without targets each source has its share of all tokens, so that every window holds the
     mixture of the corpus. Every id lies in exactly one piece; all windows but the last are full. Null and empty texts
     are END_ID alone; a null source counts as the source ''. Each row is a document of its own, whatever its id, so
     repeated rows and null ids are packed too. An empty table gives no pieces. Other columns are ignored.
@@ -212,7 +215,8 @@ def pack(
     if targets is None:
         weights = sizes
     else:
-        weights = [round(1e9 * targets.get(s, 0)) for s, _ in large] + [0] * (len(sizes) - len(large))
+        whole = sum(targets.values())
+        weights = [round(1e9 * w) if (w := targets.get(s, 0)) * window >= LEAST * whole else 0 for s, _ in large] + [0] * (len(sizes) - len(large))
     mixture = Mixture(sizes, weights, window)
     names = spark.createDataFrame([(s, q) for q, (s, _) in enumerate(large)], "source string, queue int")
     places = running_total(

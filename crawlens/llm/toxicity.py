@@ -36,6 +36,7 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 _EDGE = re.compile(r"^\W+|[\W_]+$")
 _INNER = re.compile(r"[\W_]")
 _REPEATS = re.compile(r"(.)\1{2,}")
+_ENDS = ".,;:!?\"'()[]{}<>*#&%-_"
 NEAR = 5
 FEATURES = (
     "log_words", "strong_density", "strong_share", "weak_density", "weight_density", "top_weight", "part_density", "part_weight", "top_part", "hidden_density",
@@ -50,7 +51,7 @@ def plain(token: str) -> str:
 
 def uncovered(token: str) -> str:
     """The word behind a disguised token: letters for look-alike signs, no marks inside, no stretched letters."""
-    return _REPEATS.sub(r"\1", _INNER.sub("", token.lower().translate(LEET)))
+    return _REPEATS.sub(r"\1", _INNER.sub("", token.lower().strip(_ENDS).translate(LEET)))
 
 
 def grams(word: str, size: int = GRAM) -> set[str]:

@@ -65,7 +65,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     """
     host, path = host_and_path(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.withColumns({"host": host, "path": path}).withColumn("_whole", F.struct(*kept))
+    rows = pages.select(F.struct(*kept).alias("_whole"), host.alias("host"), path.alias("path"))
     labels = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).scalar()
     backwards = F.reverse(F.split(F.col("host"), r"\."))
     suffixes = F.transform(
