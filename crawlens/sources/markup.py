@@ -10,9 +10,8 @@ import html as html_text
 import json
 import re
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S
-)
+_NAME_END = re.compile(r"[\s/>]|\Z")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW_END = {
     name: re.compile(rf"</{name}(?=[\s/>])", re.I)
@@ -26,7 +25,7 @@ _CHROME = frozenset("nav header footer aside".split())
 _HEAD_ONLY = frozenset("html head title meta link script style base noscript template".split())
 _SELF_CLOSING_PEERS = {"p": ("p",), "li": ("li",), "option": ("option",), "tr": ("tr", "td", "th"),
                        "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
-_CAPTURED = frozenset(("h1", "a"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SRC = ("src", "data-src", "data-lazy-src", "data-original", "data-echo")
 _SRCSET = ("srcset", "data-srcset", "data-lazy-srcset")
 _JSON_NOISE = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/', re.S)
@@ -101,6 +100,67 @@ def _types(value, depth: int = 0):
             yield from _types(item, depth + 1)
 
 
+class _Tags:
+    """Finds the tags of a text in one pass: what failed once is remembered, so malformed markup costs no more."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {mark: source.rfind(mark) for mark in ">\"'"}
+        self.failed: set[int] = set()
+        self.mark_from = self.mark_at = self.name_from = self.name_to = -1
+
+    def _first_mark(self, at: int) -> int:
+        """The first ">" or quote from ``at``, or -1."""
+        if not self.mark_from <= at <= self.mark_at:
+            found = _MARK.search(self.source, at)
+            self.mark_from, self.mark_at = at, found.start() if found else len(self.source)
+        return self.mark_at if self.mark_at < len(self.source) else -1
+
+    def _end(self, at: int) -> int:
+        """The first ">" from ``at`` outside quotes, or -1."""
+        if at > self.last[">"]:
+            return -1
+        passed = []
+        while (mark := self._first_mark(at)) >= 0 and mark not in self.failed:
+            sign = self.source[mark]
+            if sign == ">":
+                return mark
+            passed.append(mark)
+            if self.last[sign] == mark:
+                break
+            at = self.source.find(sign, mark + 1) + 1
+        self.failed.update(passed)
+        return -1
+
+    def _name_end(self, at: int) -> int:
+        if not self.name_from <= at <= self.name_to:
+            self.name_from, self.name_to = at, _NAME_END.search(self.source, at).start()
+        return self.name_to
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, closing, name, attributes) of the next tag from ``at``; a comment or declaration has no name."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            at = start + 1
+            if source.startswith("!--", at):
+                end = source.find("-->", at + 3)
+                return start, end + 3 if end >= 0 else len(source), False, None, ""
+            closing = source.startswith("/", at)
+            first = at + closing
+            if first < len(source) and source[first].isascii() and source[first].isalpha():
+                stop = self._name_end(first)
+                end = self._end(stop)
+                if end < 0 and 0 <= (quote := self._first_mark(first)) < stop:
+                    stop, end = quote, self._end(quote)  # a quote right behind the name opens a value
+                if end >= 0:
+                    return start, end + 1, closing, source[first:stop], source[stop:end]
+            if first > at or source[at : at + 1] in ("!", "?"):
+                end = source.find(">", at) if at <= self.last[">"] else -1
+                if end >= 0:
+                    return start, end + 1, False, None, ""
+        return None
+
+
 def scan(source: str) -> dict:
     """Raw facts of one document; attribute values and texts are not yet normalised."""
     facts = {
@@ -115,7 +175,8 @@ def scan(source: str) -> dict:
     text: list[str] = []
     stack: list[str] = []
     open_count: dict[str, int] = {}
-    captures: list[tuple[str, int, list, dict]] = []
+    captures: list[tuple[str, int, int, dict]] = []
+    spoken: list[str] = []
     pictures: list[list[str]] = []
     noise = chrome = 0
     in_body = False
@@ -132,7 +193,7 @@ def scan(source: str) -> dict:
                 pictures.pop()
             while captures and captures[-1][1] > len(stack):
                 kind, _, parts, attrs = captures.pop()
-                value = "".join(parts).strip()
+                value = "".join(spoken[parts:]).strip()
                 if kind == "h1":
                     attrs["slot"].append(value)
                 else:
@@ -151,32 +212,31 @@ def scan(source: str) -> dict:
             in_body = True
         if "&" in chunk:
             chunk = html_text.unescape(chunk)
-        for capture in captures:
-            capture[2].append(chunk)
+        if captures:
+            spoken.append(chunk)
         if in_body and not noise:
             text.append(chunk)
 
     h1_slots: list[list[str]] = []
+    tags = _Tags(source)
     while True:
-        match = _TAG.search(source, at)
-        if match is None:
+        tag = tags.next(at)
+        if tag is None:
             if at < len(source):
                 add_text(source[at:])
             break
-        if match.start() > at:
-            add_text(source[at:match.start()])
-        at = match.end()
-        name = match.group(2)
+        start, end, closing, name, inner = tag
+        if start > at:
+            add_text(source[at:start])
+        at = end
         if name is None:
             continue
         name = name.lower()
-        if match.group(1):
-            if name == "head":
-                in_body = in_body or False
+        if closing:
             if name not in ("html", "body"):
                 close_to(name)
             continue
-        attrs = _attributes(match.group(3)) if match.group(3) else {}
+        attrs = _attributes(inner) if inner else {}
 
         if name == "html":
             if facts["lang"] is None and "lang" in attrs:
@@ -243,9 +303,11 @@ def scan(source: str) -> dict:
         if peers:
             while stack and stack[-1] in peers:
                 finish(len(stack) - 1)
+        if name in _HEADINGS and stack and stack[-1] in _HEADINGS:
+            finish(len(stack) - 1)  # a heading right inside a heading ends it
         if name == "h2":
             facts["h2_count"] += 1
-        if len(name) == 2 and name[0] == "h" and name[1] in "123456" and not chrome:
+        if name in _HEADINGS and not chrome:
             facts["heading_levels"].append(int(name[1]))
 
         stack.append(name)
@@ -257,11 +319,11 @@ def scan(source: str) -> dict:
         elif name == "h1":
             slot: list[str] = []
             h1_slots.append(slot)
-            captures.append(("h1", len(stack), [], {"slot": slot}))
+            captures.append(("h1", len(stack), len(spoken), {"slot": slot}))
         elif name == "a" and "href" in attrs:
             link = {"href": attrs["href"], "text": "", "rel": attrs.get("rel", "")}
             facts["links"].append(link)
-            captures.append(("a", len(stack), [], {"slot": link}))
+            captures.append(("a", len(stack), len(spoken), {"slot": link}))
     finish(0)
 
     for position, sources in late_images:
@@ -281,7 +343,7 @@ _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([^\"';\s/>]+)", re.I)
 
 
 def decode(body: bytes, content_type: str | None) -> str:
-    """Text of a raw body: header charset, else a meta tag near the top, else BOM, else UTF-8."""
+    """Text of a raw body: header charset, else BOM, else the first meta tag with one, else UTF-8."""
     declared = _CHARSET.search(content_type or "")
     name = declared.group(1) if declared else None
     if name is None:
@@ -290,7 +352,9 @@ def decode(body: bytes, content_type: str | None) -> str:
                 name = charset
                 break
     if name is None:
-        meta = re.search(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([^\"';\s/>]+)", body[:4096], re.I)
+        head = body[: body.rfind(b">") + 1]  # every tag in it ends, so no search runs on
+        metas = (re.search(rb"charset\s*=\s*[\"']?\s*([^\"';\s/>]+)", m.group(1), re.I) for m in re.finditer(rb"<meta\b([^>]*)>", head, re.I))
+        meta = next(filter(None, metas), None)
         name = meta.group(1).decode("ascii", "replace") if meta else "utf-8"
     try:
         return body.decode(name, errors="replace").lstrip("\ufeff")
