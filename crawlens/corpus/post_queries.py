@@ -65,7 +65,7 @@ FROM usable u JOIN (SELECT crawl_id, count(*) < 4 OR count(*) FILTER (marked) <=
 _USAGE = """
 SELECT site_id, url_key, count(*) AS used FROM (
   SELECT site_id, job_id, lower(coalesce(page_url, input ->> '$.pageUrl')) AS url_key, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, job_id DESC) AS rn
-  FROM jobs WHERE type = 'social_kit' AND status <> 'failed') x WHERE rn <= 1000 GROUP BY 1, 2
+  FROM jobs WHERE type = 'social_kit' AND status <> 'failed') x GROUP BY 1, 2
 """
 
 
@@ -313,8 +313,13 @@ def prompts(spark, sf):
     resolved = brands.resolve_brands(jobs, stage.brands(spark, sf))
     profiles = stage.brands(spark, sf).select("brand_id", F.col("name").alias("brand_name"), "tone", "address_form", "emoji_usage", "banned_phrases",
                                               "default_hashtags", "social_handles", "target_audience", "extra_context")
-    pages = selection.usable_pages(_pages(spark, sf).where(F.col("crawl_no") == 2)).select(
-        "site_id", F.lower("url").alias("url_key"), "url", "title", "meta_description", "h1", "main_text", selection.page_kind().alias("kind"))
+    usable = selection.usable_pages(_pages(spark, sf))
+    # A page's newest crawl speaks for it; markup counts where its crawl's pages differ in it.
+    pages = (
+        usable.join(selection.markup_trust(usable), "crawl_id").withColumn("kind", selection.page_kind(F.col("trust_markup"))).withColumn("url_key", F.lower("url"))
+        .groupBy("site_id", "url_key").agg(F.max_by(F.struct("url", "title", "meta_description", "h1", "main_text", "kind"), F.struct("crawl_no", "url")).alias("p"))
+        .select("site_id", "url_key", "p.*")
+    )
     rows = (
         resolved.join(profiles, "brand_id", "left")
         .join(F.broadcast(catalogue.platforms(spark)), "platform_code", "left")

@@ -67,16 +67,17 @@ def fold_headline(x: Column) -> Column:
     return F.translate(turkish_lower(x), _TR_LETTERS, _TR_ASCII)
 
 
-# Latin letters with accents that decompose into a base letter plus marks. The
-# table covers Latin-1 and Latin Extended-A and is built from the Unicode data.
+# Letters with accents that decompose into a base letter plus marks, of all scripts
+# with an alphabet. The table is built from the Unicode data.
 def _accent_table() -> tuple[str, str]:
     import unicodedata
 
     source, target = [], []
-    for code in range(0xC0, 0x250):
+    for code in (*range(0xC0, 0x600), *range(0x1E00, 0x2000)):
         char = chr(code)
-        base = unicodedata.normalize("NFD", char)[0]
-        if base != char:
+        parts = unicodedata.normalize("NFD", char)
+        base = parts[0]
+        if base != char and all(unicodedata.combining(c) for c in parts[1:]):
             source.append(char)
             target.append(base)
     return "".join(source), "".join(target)

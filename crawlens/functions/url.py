@@ -24,7 +24,6 @@ ASSET_EXTENSIONS = [
     "exe", "dmg", "apk", "msi", "pkg", "deb", "rpm",
 ]
 
-MAX_URL_LENGTH = 2048
 
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 _HAS_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
@@ -79,7 +78,7 @@ def strip_tracking(query: Column) -> Column:
 def _merge_dots(path: Column) -> Column:
     """RFC 3986 dot-segment removal; only paths that have dot segments pay for it."""
     folded = F.aggregate(
-        F.slice(F.split(path, "/"), 2, 1_000_000),
+        F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")), F.lit(1))),
         F.array().cast("array<string>"),
         lambda acc, seg: F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(seg == ".", acc)

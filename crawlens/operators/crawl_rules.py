@@ -13,7 +13,6 @@ from crawlens.functions import url as U
 from crawlens.scale import sample_lists
 
 MAX_SAMPLES = 10
-MAX_BLOCKED = 100
 MAX_DEPTH = 4
 POOR_LCP_MS, POOR_CLS, POOR_INP_MS = 4000, 0.25, 500
 
@@ -149,8 +148,8 @@ def not_in_sitemap(pages: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
 
 
 def blocked_by_robots(blocked: DataFrame, homes: DataFrame) -> DataFrame:
-    """``blocked(crawl_id, url, seq)``; counted up to 100, ten samples, on the home page."""
-    counts = blocked.groupBy("crawl_id").agg(F.least(F.count(F.lit(1)), F.lit(MAX_BLOCKED)).alias("n"))
+    """``blocked(crawl_id, url, seq)``; all are counted, ten are samples, on the home page."""
+    counts = blocked.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n"))
     samples = sample_lists(blocked, ["crawl_id"], [F.col("seq"), F.col("url")], F.col("url"), MAX_SAMPLES, "samples")
     rows = counts.join(samples, "crawl_id").join(homes.select("crawl_id", "page_id"), "crawl_id")
     found = F.concat(F.lit("robots.txt "), F.col("n").cast("string"), F.lit(" iç adresin taranmasını engelliyor."))

@@ -12,7 +12,6 @@ from crawlens.functions import url as U
 from crawlens.scale import first_n
 from crawlens.sources import robots as R
 
-MAX_TRACKED_BLOCKED = 100
 
 
 @dataclass(frozen=True)
@@ -61,7 +60,7 @@ def judge_urls(candidates: DataFrame, robots: DataFrame, settings: CrawlSettings
     but still reported when robots.txt forbids it.
     """
     home = F.col("url") == F.concat("base_url", F.lit("/"))
-    eligible = (F.length("url") <= U.MAX_URL_LENGTH) & U.is_internal(F.col("url"), F.col("base_url"))
+    eligible = U.is_internal(F.col("url"), F.col("base_url"))
     judged = R.with_verdict(candidates, robots, "url", token)
     return judged.withColumn(
         "decision",

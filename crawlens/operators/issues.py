@@ -28,7 +28,8 @@ def issue_rows(page_findings: DataFrame, crawl_findings: DataFrame, crawls: Data
     whole = crawl_findings.withColumn("is_crawl_level", F.lit(True))
     both = single.select(*columns).unionByName(whole.select(*columns))
     return both.join(crawls.select("crawl_id", "site_id"), "crawl_id").select(
-        F.xxhash64("crawl_id", "rule_code", "page_id", "found").alias("issue_id"),
+        # A key of joins: 256 bits, of parts that can't run into each other.
+        F.sha2(F.to_json(F.struct("crawl_id", "rule_code", "page_id", "found")), 256).alias("issue_id"),
         "crawl_id", "site_id", "page_id", "rule_code", "category", "severity",
         catalogue.severity_rank(F.col("severity")).alias("severity_rank"), "weight",
         F.lit("open").alias("status"),
@@ -81,8 +82,8 @@ def issue_order(*last: str) -> list[Column]:
 
 
 def page_bounds(page: int | None, size: int | None) -> tuple[int, int]:
-    """(offset, size): pages start at 1, size is 50 by default and stays within 1..200."""
-    size = min(max(size or DEFAULT_PAGE_SIZE, 1), MAX_PAGE_SIZE)
+    """(offset, size): pages start at 1; no size, zero or less is 50, and 200 is the most."""
+    size = min(size if size and size > 0 else DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE)
     return (max(page or 1, 1) - 1) * size, size
 
 

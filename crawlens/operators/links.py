@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 
 from crawlens.scale import cut, spread_lookup
 
-MAX_REDIRECT_HOPS = 5
-
-
 def redirect_targets(pages: DataFrame) -> DataFrame:
-    """(crawl_id, page_id, final_id) for redirecting pages: up to five hops over crawled pages."""
+    """(crawl_id, page_id, final_id) for redirecting pages: the crawled page where the chain ends.
+
+    Each round follows twice as many hops as the one before. What still moves after as many hops as there are
+    redirecting pages goes round in a circle and stays at the page that the last round led to.
+    """
     moving = pages.where(F.col("redirect_to").isNotNull()).select("crawl_id", "page_id", F.col("redirect_to").alias("url"))
     step = (
         moving.join(pages.select("crawl_id", "url", F.col("page_id").alias("next_id")), ["crawl_id", "url"])
         .where(F.col("next_id") != F.col("page_id"))
         .select("crawl_id", "page_id", "next_id")
     )
-    reached = step.withColumnRenamed("next_id", "final_id")
-    following = step.select("crawl_id", F.col("page_id").alias("final_id"), "next_id")
-    for _ in range(MAX_REDIRECT_HOPS - 1):
-        reached = reached.join(following, ["crawl_id", "final_id"], "left").select(
-            "crawl_id", "page_id", F.coalesce("next_id", "final_id").alias("final_id")
-        )
+    reached = cut(step.withColumnRenamed("next_id", "final_id"), "redirects")
+    hops, most = 1, reached.count()
+    while hops < most:
+        following = reached.select("crawl_id", F.col("page_id").alias("final_id"), F.col("final_id").alias("next_id"))
+        doubled = reached.join(following, ["crawl_id", "final_id"], "left")
+        if doubled.where("next_id is not null and next_id <> final_id").isEmpty():
+            break
+        reached = cut(doubled.select("crawl_id", "page_id", F.coalesce("next_id", "final_id").alias("final_id")), "redirects")
+        hops *= 2
     return reached
 
 

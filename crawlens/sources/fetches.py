@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,13 +11,24 @@ from pyspark.sql import functions as F
 
 from crawlens.functions import text as T
 from crawlens.functions import url as U
+from crawlens.scale import spread_lookup
 from crawlens.sources import markup
 
-MAX_HTML_BYTES = 5 * 1024 * 1024
-MAX_TEXT_CHARS = 200_000
-MAX_STORED_IMAGES = 20
-MAX_MEASURED_IMAGES = 10
-MAX_ANCHOR_CHARS = 512
+
+@dataclass(frozen=True)
+class Limits:
+    """What a page may hold; None is no limit. Lengths that are stored beside a text are always those of the whole."""
+
+    html_bytes: int | None = None
+    text_chars: int | None = None
+    field_chars: int | None = None
+    url_chars: int | None = None
+    images: int | None = None
+    measured_images: int | None = None
+    anchor_chars: int | None = None
+
+
+NO_LIMITS = Limits()
 
 FETCH_SCHEMA = (
     "crawl_id string, site_id string, base_url string, fetch_seq bigint, url string, final_url string, "
@@ -39,12 +51,23 @@ def is_parsable_html(status: Column, content_type: Column) -> Column:
     return status.between(200, 299) & F.coalesce(F.lower(content_type).contains("html"), F.lit(False))
 
 
-def cap_body(html: Column) -> Column:
-    """First MAX_HTML_BYTES bytes of the document; shorter bodies are not touched."""
-    return F.when(
-        F.octet_length(html) > MAX_HTML_BYTES,
-        F.decode(F.substring(F.encode(html, "utf-8"), 1, MAX_HTML_BYTES), "utf-8"),
-    ).otherwise(html)
+def cap_body(html: Column, most: int | None, binary: bool = False) -> Column:
+    """First ``most`` bytes of the document, all of it without a limit; shorter bodies are not touched.
+
+    A character that the limit falls into goes as a whole.
+    """
+    if most is None:
+        return html
+    head = html if binary else F.encode(html, "utf-8")
+    # Back from the limit to the first byte of a character (in UTF-8 the others are 80 to BF).
+    inside = lambda n: F.hex(F.substring(head, n + 1, 1)).between("80", "BF")
+    size = F.when(~inside(most), F.lit(most)).when(~inside(most - 1), F.lit(most - 1)).when(~inside(most - 2), F.lit(most - 2)).otherwise(F.lit(most - 3))
+    cut = F.substring(head, F.lit(1), size)
+    return F.when(F.octet_length(html) > most, cut if binary else F.decode(cut, "utf-8")).otherwise(html)
+
+
+def _clip(value: Column, most: int | None) -> Column:
+    return value if most is None else F.substring(value, 1, most)
 
 
 def scan_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,6 +90,7 @@ def scan_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract(
     fetches: DataFrame,
     extractor: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] = scan_documents,
+    limits: Limits = NO_LIMITS,
 ) -> DataFrame:
     """Raw facts per fetch. ``extractor`` may be replaced by any function with the same columns.
 
@@ -74,7 +98,7 @@ def extract(
     """
     parsable = is_parsable_html(F.col("status_code"), F.col("content_type"))
     binary = dict(fetches.dtypes)["html"] == "binary"
-    body = F.substring(F.col("html"), 1, MAX_HTML_BYTES) if binary else cap_body(F.col("html"))
+    body = cap_body(F.col("html"), limits.html_bytes, binary)
     ready = fetches.withColumn("html", F.when(parsable, body))
     kept = ", ".join(f"`{c}` {t}" for c, t in ready.dtypes if c != "html")
     return ready.mapInPandas(extractor, f"{kept}, {RAW_FIELDS}")
@@ -116,36 +140,35 @@ def page_facts(raw: DataFrame) -> DataFrame:
     )
 
 
-def page_rows(facts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Stored page columns: clipped texts, lengths from the unclipped text; ``keep`` passes more columns on."""
-    clip = lambda name, n: F.substring(F.col(name), 1, n)
+def page_rows(facts: DataFrame, keep: Sequence[str] = (), limits: Limits = NO_LIMITS) -> DataFrame:
+    """Stored page columns, within ``limits``; ``keep`` passes more columns on."""
+    clip = lambda name, n=limits.field_chars: _clip(F.col(name), n)
+    images = F.col("image_urls") if limits.url_chars is None else F.filter("image_urls", lambda u: F.length(u) <= limits.url_chars)
     return facts.select(
         "crawl_id", "site_id", "base_url", "page_id", "fetch_seq",
-        clip("url", U.MAX_URL_LENGTH).alias("url"), "url_hash",
+        clip("url", limits.url_chars).alias("url"), "url_hash",
         F.col("depth_hint").alias("depth"), "is_seed", "status_code",
-        clip("content_type", 128).alias("content_type"),
-        clip("redirect_to", U.MAX_URL_LENGTH).alias("redirect_to"), "redirect_count", "invalid_redirect_target",
+        clip("content_type").alias("content_type"),
+        clip("redirect_to", limits.url_chars).alias("redirect_to"), "redirect_count", "invalid_redirect_target",
         "response_time_ms", "fetched_at",
-        clip("title", 1024).alias("title"), F.length("title").alias("title_length"),
-        clip("description", 2048).alias("meta_description"), F.length("description").alias("meta_desc_length"),
+        clip("title").alias("title"), F.length("title").alias("title_length"),
+        clip("description").alias("meta_description"), F.length("description").alias("meta_desc_length"),
         "h1", "h2_count", "heading_levels", "word_count",
-        clip("canonical_url", U.MAX_URL_LENGTH).alias("canonical_url"),
-        clip("robots_meta", 128).alias("robots_meta"),
+        clip("canonical_url", limits.url_chars).alias("canonical_url"),
+        clip("robots_meta").alias("robots_meta"),
         F.when(F.size("og") > 0, F.to_json("og")).alias("og_data"), F.map_keys("og").alias("og_tags"),
         "schema_types", "invalid_schema_blocks", "images_total", "images_no_alt",
-        F.slice(F.filter("image_urls", lambda u: F.length(u) <= U.MAX_URL_LENGTH), 1, MAX_STORED_IMAGES).alias(
-            "image_urls"
-        ),
+        (images if limits.images is None else F.slice(images, 1, limits.images)).alias("image_urls"),
         F.col("image_urls").alias("all_image_urls"),
         "content_hash",
-        F.when(F.col("main_text") != "", clip("main_text", MAX_TEXT_CHARS)).alias("main_text"),
-        clip("lang", 16).alias("lang"),
+        F.when(F.col("main_text") != "", clip("main_text", limits.text_chars)).alias("main_text"),
+        clip("lang").alias("lang"),
         is_parsable_html(F.col("status_code"), F.col("content_type")).alias("is_html"),
         *keep,
     )
 
 
-def link_rows(facts: DataFrame) -> DataFrame:
+def link_rows(facts: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """One row per distinct target of a page, first occurrence wins; redirecting pages have none.
 
     Repeats are removed inside the page's own array (sort, then compare with the
@@ -156,13 +179,12 @@ def link_rows(facts: DataFrame) -> DataFrame:
         lambda l, i: F.struct(
             U.normalize_url(l["href"], F.col("link_base")).alias("to_url"),
             i.alias("pos"),
-            F.when(~T.is_blank(l["text"]), F.substring(T.collapse_ws(l["text"]), 1, MAX_ANCHOR_CHARS)).alias(
-                "anchor_text"
-            ),
+            F.when(~T.is_blank(l["text"]), _clip(T.collapse_ws(l["text"]), limits.anchor_chars)).alias("anchor_text"),
             F.lower(l["rel"]).contains("nofollow").alias("is_nofollow"),
         ),
     )
-    usable = F.filter(targets, lambda t: t["to_url"].isNotNull() & (F.length(t["to_url"]) <= U.MAX_URL_LENGTH))
+    fits = lambda url: F.lit(True) if limits.url_chars is None else F.length(url) <= limits.url_chars
+    usable = F.filter(targets, lambda t: t["to_url"].isNotNull() & fits(t["to_url"]))
     firsts = U.let(
         F.array_sort(usable),
         lambda s: F.filter(s, lambda t, i: (i == 0) | (F.get(s, i - 1)["to_url"] != t["to_url"])),
@@ -179,22 +201,25 @@ def link_rows(facts: DataFrame) -> DataFrame:
     )
 
 
-def measured_images(pages: DataFrame, sizes: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """``image_sizes`` per page: the first ten allowed images, those with a known size.
+def measured_images(pages: DataFrame, sizes: DataFrame, blocked: DataFrame | None = None, limits: Limits = NO_LIMITS) -> DataFrame:
+    """``image_sizes`` per page: the allowed images with a known size, the first ones if limited.
 
     ``sizes(crawl_id, url, bytes)`` is shared by all pages of a crawl and
-    ``blocked(crawl_id, url)`` lists images robots.txt forbids. A page has a
-    bounded number of images, so collecting them per page is safe.
+    ``blocked(crawl_id, url)`` lists images robots.txt forbids. The images of a page
+    come back into the array that they came from, so no row outgrows its page. A
+    logo is on every page of its crawl: such keys are split.
     """
     wanted = pages.select("crawl_id", "page_id", F.posexplode("all_image_urls").alias("pos", "url"))
     if blocked is not None:
         wanted = wanted.join(blocked.select("crawl_id", "url").distinct(), ["crawl_id", "url"], "left_anti")
     known = sizes.groupBy("crawl_id", "url").agg(F.max("bytes").alias("bytes"))
     per_page = (
-        wanted.join(known, ["crawl_id", "url"], "left")
+        spread_lookup(wanted, known, ["crawl_id", "url"], F.col("page_id"))
         .groupBy("crawl_id", "page_id")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "url", "bytes"))), 1, MAX_MEASURED_IMAGES).alias("m"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "url", "bytes"))).alias("m"))
     )
+    if limits.measured_images is not None:
+        per_page = per_page.withColumn("m", F.slice("m", 1, limits.measured_images))
     measured = F.transform(
         F.filter("m", lambda s: s["bytes"].isNotNull()),
         lambda s: F.struct(s["url"].alias("url"), s["bytes"].alias("bytes")),

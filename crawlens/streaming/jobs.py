@@ -19,14 +19,14 @@ def read_fetches(spark: SparkSession, path: str, schema: str = FS.FETCH_SCHEMA,
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def unique_fetches(fetches: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First arrival of each URL of a crawl; state older than ``delay`` is dropped."""
-    return (
-        fetches.withColumn("url_hash", U.url_hash(F.col("url")))
-        .withWatermark("fetched_at", delay)
-        .dropDuplicatesWithinWatermark(["crawl_id", "url_hash"])
-        .drop("url_hash")
-    )
+def unique_fetches(fetches: DataFrame) -> DataFrame:
+    """First arrival of each URL of a crawl, however late it is.
+
+    The state is one key per URL of the crawls that this stream reads, so a stream runs over a set of crawls and ends
+    with them; a state store on disk (RocksDB) holds large ones. A watermark would forget keys sooner, but would also
+    drop URLs that arrive behind it for the first time.
+    """
+    return fetches.withColumn("url_hash", U.url_hash(F.col("url"))).dropDuplicates(["crawl_id", "url_hash"]).drop("url_hash")
 
 
 def stream_pages(fetches: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
+from crawlens.functions import text as T
 from crawlens.sources import fetches as FS
 from crawlens.sources import markup, pagespeed, robots, sitemap, sinks
+from crawlens.streaming import jobs
 
 PAGE = """<!doctype html><html lang=" en "><head><title> A &amp; B </title>
 <meta name="description" content=" short text "><meta name="robots" content="index, follow">
@@ -160,3 +163,29 @@ def test_sinks(spark, tmp_path):
     assert raw.startswith("﻿") or raw.startswith('"﻿')
     assert '"u""1"' in raw and '"#x #y"' in raw and '"j2","h1","",""' in raw
     assert F is not None
+
+
+def test_malformed_markup_takes_linear_time():
+    def spent(part, size):
+        text = part * (size // len(part))
+        began = time.process_time()
+        markup.scan(text)
+        return time.process_time() - began
+
+    for part in ("<a b ", "<h1>heading ", "<a \"x' ", "<a<", "</a \"", "<!-- ", "<h1><b>"):
+        small, large = spent(part, 1 << 18), spent(part, 1 << 20)
+        assert large < 8 * max(small, 0.05), (part, small, large)
+
+
+def test_streams_keep_urls_that_arrive_late(spark, tmp_path):
+    rows = [("c", f"http://s/{i}", hour) for i, hour in enumerate((10, 9, 1, 2))] + [("c", "http://s/0", 12)]
+    for n, (crawl, url, hour) in enumerate(rows):
+        spark.createDataFrame([(crawl, url, datetime.datetime(2024, 1, 1, hour))], "crawl_id string, url string, fetched_at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arriving = jobs.unique_fetches(jobs.read_fetches(spark, f"{tmp_path}/in", "crawl_id string, url string, fetched_at timestamp", files_per_trigger=1))
+    jobs.persist_batches(arriving, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [f"http://s/{i}" for i in range(4)]
+
+
+def test_anchors_fold_in_all_alphabets(evaluate):
+    found = evaluate(T.fold_anchor(F.col("a")), [("t\u0131kl\u1ea1yin",), ("\u0386\u03bb\u03c6\u03b1",), ("\u0419\u043e\u0433",)], "a string")
+    assert found == ["tiklayin", "\u03b1\u03bb\u03c6\u03b1", "\u0438\u043e\u0433"]
