@@ -14,9 +14,10 @@ EXPORT_COLUMNS = [
 def write_by_crawl(df: DataFrame, path: str, sort_by: str | None = None) -> None:
     """Replace exactly the crawls contained in ``df``; re-running a job is harmless.
 
-    Rows are not gathered per crawl: a crawl of any size is written by all tasks
-    that hold a part of it.
+    Rows are rebalanced by crawl at run time: small crawls share a task, a large one
+    is written by several, and each file has about the advised partition size.
     """
+    df = df.hint("rebalance", "crawl_id")
     if sort_by:
         df = df.sortWithinPartitions("crawl_id", sort_by)
     (

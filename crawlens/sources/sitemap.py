@@ -9,9 +9,6 @@ from crawlens.functions import text as T
 from crawlens.functions import url as U
 from crawlens.scale import cut
 
-MAX_LEVELS = 3
-MAX_URLS = 50_000
-
 _XML = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
 
 
@@ -26,36 +23,41 @@ def _parsed(sitemaps: DataFrame) -> DataFrame:
     return doc.select("site_id", "sitemap_url", names("url").alias("urls"), names("sitemap").alias("children"))
 
 
-def listed_urls(sitemaps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(site_id, raw_url) reachable from the root sitemaps, at most 50 000 per root.
+def listed_urls(sitemaps: DataFrame, roots: DataFrame, max_levels: int | None = None, max_urls: int | None = None) -> DataFrame:
+    """(site_id, raw_url) reachable from the root sitemaps.
 
-    ``roots(site_id, sitemap_url, n)``; an index is followed for three levels.
-    The cap is applied to whole documents by running totals of their sizes, so
-    single URLs are never ranked.
+    ``roots(site_id, sitemap_url, n)``. An index is followed until no document is new, or for ``max_levels`` levels;
+    a document listed twice, or in a circle, is read once, at its first place. ``max_urls`` limits the URLs of a root:
+    it is applied to whole documents by running totals of their sizes, so single URLs are never ranked.
     """
     # Every level reads the documents again: parse them once.
     docs = cut(_parsed(sitemaps), "sitemaps")
     level = roots.select(
         "site_id", "sitemap_url", F.struct(F.col("n").alias("root"), F.array().cast("array<int>").alias("path")).alias("at")
     )
-    found = None
-    for depth in range(MAX_LEVELS + 1):
-        here = level.join(docs, ["site_id", "sitemap_url"])
-        leaves = here.where(F.size("children") == 0).select("site_id", "sitemap_url", "at", "urls")
-        found = leaves if found is None else found.unionByName(leaves)
-        if depth < MAX_LEVELS:
-            level = here.select("site_id", "at", F.posexplode("children").alias("i", "sitemap_url")).select(
-                "site_id", "sitemap_url",
-                F.struct(F.col("at.root").alias("root"), F.concat("at.path", F.array("i")).alias("path")).alias("at"),
-            )
-    # A document listed twice is read once, at its first place.
-    once = found.groupBy("site_id", "sitemap_url").agg(F.min_by(F.struct("at", "urls"), "at").alias("d"))
-    order = Window.partitionBy("site_id", F.col("d.at.root")).orderBy("d.at.path").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    sized = once.withColumn("before", F.coalesce(F.sum(F.size("d.urls")).over(order), F.lit(0)))
-    room = F.greatest(F.lit(MAX_URLS) - F.col("before"), F.lit(0)).cast("int")
-    return sized.select("site_id", F.explode(F.slice("d.urls", F.lit(1), room)).alias("raw_url"))
+    seen, depth = None, 0
+    while max_levels is None or depth <= max_levels:
+        fresh = level.groupBy("site_id", "sitemap_url").agg(F.min("at").alias("at"))
+        if seen is not None:
+            fresh = fresh.join(seen.select("site_id", "sitemap_url"), ["site_id", "sitemap_url"], "left_anti")
+        here = cut(fresh.join(docs, ["site_id", "sitemap_url"]), "sitemap-level")
+        if here.isEmpty():
+            break
+        seen = here if seen is None else seen.unionByName(here)
+        level = here.select("site_id", "at", F.posexplode("children").alias("i", "sitemap_url")).select(
+            "site_id", "sitemap_url",
+            F.struct(F.col("at.root").alias("root"), F.concat("at.path", F.array("i")).alias("path")).alias("at"),
+        )
+        depth += 1
+    if seen is None:
+        return docs.select("site_id", F.explode("urls").alias("raw_url")).limit(0)
+    leaves = seen.where(F.size("children") == 0)
+    if max_urls is None:
+        return leaves.select("site_id", F.explode("urls").alias("raw_url"))
+    order = Window.partitionBy("site_id", F.col("at.root")).orderBy("at.path").rowsBetween(Window.unboundedPreceding, -1)
+    sized = leaves.withColumn("before", F.coalesce(F.sum(F.size("urls")).over(order), F.lit(0)))
+    room = F.greatest(F.lit(max_urls) - F.col("before"), F.lit(0)).cast("int")
+    return sized.select("site_id", F.explode(F.slice("urls", F.lit(1), room)).alias("raw_url"))
 
 
 def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, sites: DataFrame) -> DataFrame:

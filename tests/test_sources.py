@@ -123,7 +123,7 @@ def test_robots(spark):
     assert [r.sitemap_url for r in robots.sitemap_urls(maps).orderBy("n").collect()] == ["https://e.com/1.xml", "https://e.com/2.xml"]
 
 
-def test_sitemaps(spark, monkeypatch):
+def test_sitemaps(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     urls = lambda *u: f"<urlset {ns}>" + "".join(f"<url><loc> {x} </loc></url>" for x in u) + "</urlset>"
     index = lambda *u: f"<sitemapindex {ns}>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
@@ -134,8 +134,7 @@ def test_sitemaps(spark, monkeypatch):
     sites = spark.createDataFrame([("s", "https://e.com"), ("t", "https://t.com")], "site_id string, base_url string")
     got = sitemap.sitemap_pages(table, roots, sites).orderBy("url").collect()
     assert [(r.site_id, r.url) for r in got] == [("s", f"https://e.com/{x}") for x in "abc"]
-    monkeypatch.setattr(sitemap, "MAX_URLS", 3)
-    assert sorted(r.raw_url for r in sitemap.listed_urls(table, roots).collect()) == ["/a", "/b", "/c"]
+    assert sorted(r.raw_url for r in sitemap.listed_urls(table, roots, max_urls=3).collect()) == ["/a", "/b", "/c"]
 
 
 def test_pagespeed(spark):
