@@ -13,7 +13,7 @@ from crawlens.corpus.registry import query
 from crawlens.functions import text as T
 from crawlens.functions import url as U
 from crawlens.operators import brands, content, crawl_rules, headlines, posts, selection
-from crawlens.scale import shared_dir
+from crawlens.scale import shared_dir, spread
 from crawlens.sources import sinks
 from crawlens.streaming import jobs as streams
 
@@ -512,12 +512,41 @@ def indexable_pages(spark, sf):
 
 # --- streaming -----------------------------------------------------------
 
-@query("streaming_audit", sql("SELECT crawl_id, url, rule_code, found FROM page_findings WHERE rule_code <> 'IMAGE_TOO_LARGE'"))
-def streaming_audit(spark, sf):
-    """Fetches arrive as files, some of them twice; findings are written per micro-batch and read back."""
+def _arrived(spark, sf):
+    """The fetches as a stream of many small files in no order, some URLs twice, over several triggers."""
     root = f"{shared_dir(spark)}/crawlens/stream-{uuid.uuid4().hex}"
     rows = inputs.load(spark, sf, "fetches").select(*[f.split()[0] for f in streams.FS.FETCH_SCHEMA.split(", ")])
-    rows.unionByName(rows.where("is_seed")).write.parquet(f"{root}/in")
-    arriving = streams.unique_fetches(streams.read_fetches(spark, f"{root}/in"))
+    rows.unionByName(rows.where("is_seed")).repartition(6, F.xxhash64("url", "crawl_id")).write.parquet(f"{root}/in")
+    return root, streams.unique_fetches(streams.read_fetches(spark, f"{root}/in", files_per_trigger=2))
+
+
+@query("streaming_audit", sql("SELECT crawl_id, url, rule_code, found FROM page_findings WHERE rule_code <> 'IMAGE_TOO_LARGE'"))
+def streaming_audit(spark, sf):
+    """Findings are written per micro-batch and read back."""
+    root, arriving = _arrived(spark, sf)
     streams.persist_batches(streams.stream_findings(arriving), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("crawl_id", "url", "rule_code", "found")
+
+
+def _counted(spark, sf, made, running):
+    """What a second stream counts over the rows that a first one writes."""
+    root, arriving = _arrived(spark, sf)
+    streams.persist_batches(made(arriving), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    schema = spark.read.parquet(f"{root}/rows").schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/rows")
+    streams.persist_batches(running(rows), f"{root}/counts", f"{root}/checkpoint-counts", mode="update").awaitTermination()
+    return spark.read.parquet(f"{root}/counts")
+
+
+@query("streaming_progress", sql("SELECT crawl_id, count(*) AS pages_crawled FROM facts GROUP BY 1"))
+def streaming_progress(spark, sf):
+    """The last of the running page counts of each crawl."""
+    return streams.latest(_counted(spark, sf, lambda a: streams.stream_pages(a).select("crawl_id", "page_id"), streams.progress), ["crawl_id"])
+
+
+@query("streaming_issue_counts", sql("""SELECT f.crawl_id, r.severity, count(*) AS issues FROM page_findings f JOIN rules r ON r.rule_code = f.rule_code
+WHERE f.rule_code <> 'IMAGE_TOO_LARGE' GROUP BY 1, 2"""))
+def streaming_issue_counts(spark, sf):
+    """The last of the running issue counts of each crawl and severity."""
+    found = lambda a: streams.stream_findings(a).select("crawl_id", "rule_code", "severity")
+    return streams.latest(_counted(spark, sf, found, streams.running_issue_counts), ["crawl_id", "severity"])

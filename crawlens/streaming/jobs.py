@@ -62,11 +62,12 @@ def running_issue_counts(findings: DataFrame) -> DataFrame:
 
 
 def persist_batches(
-    stream: DataFrame, path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, **trigger
+    stream: DataFrame, path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append", **trigger
 ) -> StreamingQuery:
     """Write each micro-batch under its own batch id, so a replayed batch replaces itself.
 
-    ``on_batch`` sees the batch as well, e.g. to audit crawls that have ended.
+    ``on_batch`` sees the batch as well, e.g. to audit crawls that have ended. Running counts go in ``mode`` "update";
+    of a key's rows, the one with the largest batch id counts (``latest``).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -81,11 +82,18 @@ def persist_batches(
         batch.unpersist()
 
     return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+def latest(written: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row of each key among batches written in update mode."""
+    values = [c for c in written.columns if c not in (*keys, "batch_id")]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+    return newest.select(*keys, "v.*")
+
+
 def audit_finished(finished: DataFrame, run: Callable[[DataFrame], DataFrame], path: str) -> None:
     """Run the set-level audit for the crawls in ``finished`` and replace their partitions."""
     sinks.write_by_crawl(run(finished), path)
