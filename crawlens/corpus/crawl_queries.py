@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crawlens import catalogue
@@ -13,7 +15,9 @@ from crawlens.functions import url as U
 from crawlens.operators import crawl_rules, frontier, links, page_rules, scoring, selection
 from crawlens.plans.audit import audit
 from crawlens.sources import fetches as FS
+from crawlens.scale import shared_dir
 from crawlens.sources import robots as R
+from crawlens.sources import sinks
 from crawlens.sources import sitemap as S
 
 
@@ -44,6 +48,28 @@ def page_facts(spark, sf):
     return _facts(FS.page_rows(FS.page_facts(FS.extract(inputs.load(spark, sf, "fetches")))))
 
 
+@query("own_extractor", sql("SELECT crawl_id, url, 'read: ' || title AS title, word_count FROM facts"))
+def own_extractor(spark, sf):
+    """Another extractor in place of the default one: here it marks the titles that it read."""
+
+    def marked(batches):
+        for batch in FS.scan_documents(batches):
+            batch["title"] = [None if t is None else f"read: {t}" for t in batch["title"]]
+            yield batch
+
+    return FS.page_facts(FS.extract(inputs.load(spark, sf, "fetches"), marked)).select("crawl_id", "url", "title", "word_count")
+
+
+@query("crawl_tables", sql("SELECT crawl_id, count(*) AS pages, sum(length(url)) AS url_chars FROM facts GROUP BY 1"))
+def crawl_tables(spark, sf):
+    """Pages written by crawl, half of the crawls written again in place, then read back."""
+    path = f"{shared_dir(spark)}/crawlens/tables-{uuid.uuid4().hex}"
+    rows = stage.pages(spark, sf).select("crawl_id", "url", "crawl_no")
+    sinks.write_by_crawl(rows, path, "url")
+    sinks.write_by_crawl(rows.where("crawl_no = 2"), path, "url")
+    return spark.read.parquet(path).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("url")).alias("url_chars"))
+
+
 @query(
     "raw_page_facts",
     """SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,

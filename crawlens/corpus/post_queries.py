@@ -417,6 +417,23 @@ def ai_quota(spark, sf):
     return content.ai_quota(inputs.load(spark, sf, "jobs"), 20).withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    "ai_quota_check",
+    sql("""SELECT j.job_id, (1 + length(j.job_id) % 3) * (1 + length(coalesce(j.page_url, '')) % 6) AS wanted, greatest(0, 20 - coalesce(u.used, 0)) AS remaining,
+      (1 + length(j.job_id) % 3) * (1 + length(coalesce(j.page_url, '')) % 6) <= greatest(0, 20 - coalesce(u.used, 0)) AS allowed
+    FROM jobs j LEFT JOIN (SELECT tenant_id, CAST(created_at AS DATE) AS day, count(*) AS used FROM jobs WHERE type = 'social_kit' AND input ->> '$.imageSource' = 'ai' GROUP BY 1, 2) u
+    ON u.tenant_id = j.tenant_id AND u.day = CAST(j.created_at AS DATE)"""),
+)
+def ai_quota_check(spark, sf):
+    """Each job as a request for pictures: as many platforms and pages as its names' lengths say."""
+    jobs = inputs.load(spark, sf, "jobs")
+    asked = jobs.select(
+        "job_id", "tenant_id", F.to_date("created_at").alias("day"), (1 + F.length("job_id") % 3).alias("n_platforms"),
+        (1 + F.length(F.coalesce("page_url", F.lit(""))) % 6).alias("n_pages"),
+    )
+    return content.check_quota(asked, jobs, 20).select("job_id", "wanted", "remaining", "allowed")
+
+
 @query(
     "asset_gallery",
     sql("SELECT asset_id, job_id, kind FROM assets a WHERE kind = 'captioned' OR NOT EXISTS (SELECT 1 FROM assets c WHERE c.source_asset_id = a.asset_id)"),
