@@ -212,19 +212,11 @@ def post_jobs(selected: DataFrame, platform_codes: list[str]) -> DataFrame:
     )
 
 
-def unique_posts(jobs: DataFrame, known: DataFrame) -> DataFrame:
-    """One post per job: the first of 36 rotations that passes the guard and was not posted before.
-
-    When every passing text is known the first passing one is repeated
-    (``repeated``); jobs where the guard rejects everything are returned with a
-    null body. ``known(site_id, body_key)``. The probe key holds the text hash,
-    so a site with a huge history still spreads over all tasks.
-    """
-    # Page texts are split once per page, before the attempts multiply the rows.
-    jobs = cut(jobs, "post-jobs")
+def _first_fit(jobs: DataFrame, known: DataFrame, attempts: int) -> DataFrame:
+    """(job_id, b): of so many rotations the first one that passes the guard, unknown texts before known ones."""
     tasks = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tries = jobs.repartition(tasks, "job_id").withColumn("start_index", F.col("post_index")).withColumn(
-        "attempt", F.explode(F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)))
+        "attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
     ).withColumn("post_index", F.col("start_index") + F.col("attempt"))
     built = brands.guard(template_posts(tries).withColumn("hashtags", F.array().cast("array<string>")))
     # Rejected texts are left out inside the aggregate: a filter would be pushed
@@ -235,7 +227,23 @@ def unique_posts(jobs: DataFrame, known: DataFrame) -> DataFrame:
     seen = known.select("site_id", F.sha2("body_key", 256).alias("body_hash"), F.lit(True).alias("_known")).distinct()
     ranked = candidates.join(seen, ["site_id", "body_hash"], "left").withColumn("repeated", F.coalesce("_known", F.lit(False)))
     row = F.struct("repeated", "attempt", "post_index", "angle", "body", "cta", "description", "char_count")
-    best = ranked.groupBy("job_id").agg(F.min(F.when(F.col("passes"), row)).alias("b"))
+    return ranked.groupBy("job_id").agg(F.min(F.when(F.col("passes"), row)).alias("b"))
+
+
+def unique_posts(jobs: DataFrame, known: DataFrame) -> DataFrame:
+    """One post per job: the first of 36 rotations that passes the guard and was not posted before.
+
+    When every passing text is known the first passing one is repeated
+    (``repeated``); jobs where the guard rejects everything are returned with a
+    null body. ``known(site_id, body_key)``. The probe key holds the text hash,
+    so a site with a huge history still spreads over all tasks. Most jobs are
+    done with their first rotation; only the others get rows for all of them.
+    """
+    # Page texts are split once per page, before the attempts multiply the rows.
+    jobs = cut(jobs, "post-jobs")
+    first = cut(_first_fit(jobs, known, 1), "first-posts").where("b is not null and not b.repeated")
+    rest = jobs.join(first.select("job_id"), "job_id", "left_anti")
+    best = first.unionByName(_first_fit(rest, known, MAX_ATTEMPTS))
     return jobs.drop("post_index").join(best, "job_id", "left").select(
         *[c for c in jobs.columns if c != "post_index"], "b.repeated", "b.attempt", "b.post_index", "b.angle", "b.body",
         "b.cta", "b.description", "b.char_count",
