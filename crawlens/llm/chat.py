@@ -18,14 +18,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlens.llm.common import query, running_total, table, text_batches
+from crawlens.llm.common import kept, query, running_total, table, text_batches
 from crawlens.llm.packing import WordEncoder
 
 # The marks of a turn.
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Tokens that the marks of a turn count besides its role and text.
 MARKS = 4
-_ENCODERS: dict[str, WordEncoder] = {}
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
@@ -90,8 +89,7 @@ def counted(conversations: DataFrame, tokenizer: str) -> DataFrame:
     schema = conversations.withColumn("tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(tokenizer, None) or WordEncoder(tokenizer)
-        _ENCODERS[tokenizer] = encoder
+        encoder = kept(("encoder", tokenizer), lambda: WordEncoder(tokenizer))
         for part, texts in text_batches(batches, "text"):
             roles = encoder.encode([r or "" for r in part.column("role").to_pylist()])
             counts = [MARKS + (len(a) + len(b)) // 2 for a, b in zip(roles, encoder.encode(texts))]

@@ -17,6 +17,17 @@ ORACLES: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker's tasks share, by what it was made from. Only the latest is kept: operators follow each other."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def query(name: str, oracle: str | None = None):
     """Register a query over the given tables, with its SQL check where there is one."""
 

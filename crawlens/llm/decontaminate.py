@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlens.llm.common import query, running_total, table, text_batches
+from crawlens.llm.common import kept, query, running_total, table, text_batches
 from crawlens.scale import cut
 
 SIZE, SIMILARITY, RADIUS = 5, 0.8, 15
@@ -215,11 +214,6 @@ class ItemIndex:
         return [(text, k, s, -at, n + SIZE - 1) for (text, k), (s, at, n) in sorted(best.items())]
 
 
-@cache
-def _index(items: tuple[tuple[int, str], ...]) -> ItemIndex:
-    return ItemIndex(list(items))
-
-
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
     """The items with an id and a text, in blocks of about so many characters (one longer item is a block)."""
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropna().distinct()
@@ -245,7 +239,7 @@ def contaminated(
 
     def pass_over(block: tuple[tuple[int, str], ...]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(block)
+            index = kept(("items", *block), lambda: ItemIndex(list(block)))
             for part, texts in text_batches(batches, "text", 2_000_000):
                 found = index.matches(texts)
                 if found:

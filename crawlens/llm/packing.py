@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from crawlens.llm.common import query, running_total, table, text_batches
+from crawlens.llm.common import kept, query, running_total, table, text_batches
 from crawlens.scale import cut
 
 WINDOW, END_ID = 4096, 2
@@ -107,9 +107,6 @@ class WordEncoder:
         return [b"".join(map(ids.__getitem__, s)) for s in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, n, ids (two bytes an id, little-endian) of every row; ids end with END_ID."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
@@ -117,8 +114,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(tokenizer, None) or WordEncoder(tokenizer)
-        _ENCODERS[tokenizer] = encoder  # a worker's next task finds the words again
+        encoder = kept(("encoder", tokenizer), lambda: WordEncoder(tokenizer))
         for part, texts in text_batches(batches, "text"):
             ids = [x + end for x in encoder.encode(texts)]
             counts = pa.array([len(x) // 2 for x in ids], pa.int64())

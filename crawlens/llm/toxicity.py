@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlens.llm.common import query, table, text_batches
+from crawlens.llm.common import kept, query, table, text_batches
 from crawlens.scale import cut
 
 FOLDS, HELD_OUT = 5, 0
@@ -63,7 +63,7 @@ def grams(word: str, size: int = GRAM) -> set[str]:
 class Features:
     """Feature rows of texts under a lexicon: (kind, term) -> weight, kind "word" or "part"."""
 
-    def __init__(self, lexicon: dict[tuple[str, str], float], most: int = 400_000):
+    def __init__(self, lexicon: dict[tuple[str, str], float], most: int = 200_000):
         self.words = {t: w for (k, t), w in lexicon.items() if k == "word"}
         self.parts = {t: w for (k, t), w in lexicon.items() if k == "part"}
         ranked = sorted(self.words.values(), reverse=True)
@@ -76,6 +76,17 @@ class Features:
         self.rows = np.zeros((1024, 16), np.float32)
 
     def _row(self, token: str) -> tuple[float, ...]:
+        if token.isalpha():  # a bare word: nothing to strip, count or uncover
+            word, letters = token.lower(), len(token)
+            weight = self.words.get(word, 0.0)
+            part_weights = [self.parts[g] for g in grams(word) if g in self.parts]
+            upper = 0 if token.islower() else sum(c.isupper() for c in token)
+            stretched = _REPEATS.search(token) is not None
+            hidden = self.words.get(uncovered(token), 0.0) if stretched and weight == 0.0 else 0.0
+            return (
+                float(weight >= self.strong > 0), float(weight > 0), weight, float(bool(part_weights)), max(part_weights, default=0.0), hidden,
+                float(word in SECOND_PERSON), letters, upper, float(upper > 2 and upper == letters), 0, 0, 0.0, 0.0, float(stretched), 0,
+            )
         word = plain(token)
         weight = self.words.get(word, 0.0)
         part_weights = [self.parts[g] for g in grams(word) if g in self.parts] if word else []
@@ -137,6 +148,11 @@ class Features:
         return self.rows[ids]
 
 
+def shared_features(lexicon: dict[tuple[str, str], float]) -> Features:
+    """The features of a lexicon, with the tokens that a worker's earlier tasks have seen."""
+    return kept(("features", *sorted(lexicon.items())), lambda: Features(lexicon))
+
+
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
@@ -195,18 +211,17 @@ class ToxicityModel:
         self.lexicon, self.trees, self.calibration, self.rate = lexicon, trees, calibration, rate
 
     def features(self, rows: DataFrame) -> DataFrame:
-        """``rows`` without text, with the array ``features``."""
-        kept = [c for c in rows.columns if c != "text"]
-        schema = rows.select(*kept, F.array(F.lit(0.0)).alias("features")).schema
+        """``rows`` without text, with the array ``features``. Only the texts go to Python, the rest stays where it is."""
         lexicon = self.lexicon
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            features = Features(lexicon)
-            for part, texts in text_batches(batches, "text"):
-                made = pa.array([features.of(t) for t in texts], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), made], [*kept, "features"])
+        @F.arrow_udf("array<double>")
+        def dense(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            features = shared_features(lexicon)
+            for column in columns:
+                made = [features.of(t.as_py() or "") for t in column]
+                yield pa.array(made, pa.list_(pa.float64()))
 
-        return rows.select(*kept, "text").mapInArrow(run, schema)
+        return rows.withColumn("features", dense.asNondeterministic()("text")).drop("text")
 
     def raw(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``raw``: the trees' probability, before calibration."""
