@@ -56,12 +56,24 @@ _AT_BRACKETED = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_AT_WORDS}|@)\s{{0,3
 _DOT_BRACKETED = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_DOT_WORDS}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
 # Bare words: only a whole address spelled with both counts, as either word alone is ordinary prose.
 _BARE = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?: (?:{_DOT_WORDS}) [A-Za-z0-9_%+-]{{1,64}}){{0,4}} (?:{_AT_WORDS}) [A-Za-z0-9-]{{1,63}}(?: (?:{_DOT_WORDS}) [A-Za-z0-9-]{{1,63}}){{1,5}}(?![A-Za-z0-9])", re.I
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?: (?:{_DOT_WORDS}) [A-Za-z0-9_%+-]{{1,64}}){{0,4}} (?:{_AT_WORDS}) [A-Za-z0-9-]{{1,63}}(?: (?:{_DOT_WORDS}) [A-Za-z0-9-]{{1,63}}){{1,5}}(?![A-Za-z0-9])(?![A-Za-z0-9._%+-]{{0,64}}@)", re.I
+)
+# A real "@" with spelled dots around it. Next to a plain address these words are often prose, so "dot" alone counts
+# in front of one, and after one only what ends domains.
+_NAME = "[A-Za-z0-9_%+-]"
+_HALF_BARE = re.compile(
+    rf"(?<={_NAME})@[A-Za-z0-9-]{{1,63}}+(?: (?:{_DOT_WORDS}) [A-Za-z0-9-]{{1,63}}+){{1,5}}(?![A-Za-z0-9])"
+    rf"|(?<={_NAME})@[A-Za-z0-9-]{{1,63}}+(?:\.[A-Za-z0-9-]{{1,63}}+){{1,5}}(?: (?:{_DOT_WORDS}) (?:com|org|net|edu|gov|info|biz)| dot [A-Za-z]{{2}}){{1,3}}(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9._%+-]){_NAME}{{1,64}}+(?: dot {_NAME}{{1,64}}+){{1,4}}(?=@[A-Za-z0-9-])",
+    re.I,
 )
 _BARE_AT, _BARE_DOT = re.compile(rf" (?:{_AT_WORDS}) ", re.I), re.compile(rf" (?:{_DOT_WORDS}) ", re.I)
 _DIGIT_WORD = "|".join(sorted(map(re.escape, SPELLED), key=lambda w: (-len(w), w)))
 # Spelled digits count in runs of three or more digits, spelled or not, as one alone is prose.
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,2}})?(?:{_DIGIT_WORD}|[0-9])(?:[ ,-]{{1,2}}(?:{_DIGIT_WORD}|(?:dot|punkt|point|punto)|[0-9]+)){{2,}}(?!\w)", re.I)
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,2}})?(?:{_DIGIT_WORD}|[0-9]++)(?:[ ,-]{{1,2}}(?:{_DIGIT_WORD}|(?:dot|punkt|point|punto)|[0-9]+)){{2,}}(?!\w)", re.I)
+# Numbers around spelled dots are an address only where all four are there.
+_SPELLED_IP = re.compile(rf"(?<!\w)[0-9]{{1,3}}(?:(?: {{1,2}}(?:{_DOT_WORDS}) {{1,2}}|\.)[0-9]{{1,3}}){{3}}(?!\w)", re.I)
+_IP_DOT = re.compile(rf" {{1,2}}(?:{_DOT_WORDS}) {{1,2}}", re.I)
 _SPELLED_PART = re.compile(rf"(?P<digit>{_DIGIT_WORD})|(?P<plus>plus)|(?P<dot>{_DOT_WORDS})|(?P<gap>[ ,-]+)", re.I)
 # What a disguise can't do without, to be sought in lower case.
 _TRACES = (
@@ -155,6 +167,8 @@ def _characters(r: Rewritten) -> Rewritten:
 
 
 def _digits(r: Rewritten) -> Rewritten:
+    r = r.replaced((x.start(), x.end(), ".") for m in _SPELLED_IP.finditer(r.text) for x in _IP_DOT.finditer(r.text, m.start(), m.end()))
+
     def pieces():
         for run in _SPELLED_RUN.finditer(r.text):
             if not _SPELLED_PART.search(run.group()) or not any(w for w in re.split(r"[ ,-]+", run.group().lower()) if w in SPELLED):
@@ -172,24 +186,33 @@ def _addresses(r: Rewritten) -> Rewritten:
             yield from sorted([(x.start(), x.end(), "@") for x in _BARE_AT.finditer(r.text, m.start(), m.end())] + [(x.start(), x.end(), ".") for x in _BARE_DOT.finditer(r.text, m.start(), m.end())])
 
     r = r.replaced(pieces())
+    # The part before an "@" and the part after it are matches of their own.
+    r = r.replaced((x.start(), x.end(), ".") for m in _HALF_BARE.finditer(r.text) for x in _BARE_DOT.finditer(r.text, m.start(), m.end()))
     bracketed = sorted([(m.start(), m.end(), "@") for m in _AT_BRACKETED.finditer(r.text)] + [(m.start(), m.end(), ".") for m in _DOT_BRACKETED.finditer(r.text)])
     return r.replaced(iter(bracketed))
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of disguised identifiers: found in the rewritten text, apart from the base spans, of the source text."""
+    """Spans of disguised identifiers: found in the rewritten text, as spans of the source text.
+
+    One that a base span of its kind covers wholly adds nothing; others may overlap base spans, which are then a part
+    of the disguised identifier.
+    """
     if not disguised(text):
         return []
     r = _addresses(_digits(_characters(Rewritten(text))))
     if r.text == text:
         return []
-    taken = sorted((s, e) for _, s, e in base)
-    out = []
+    out, at = [], {kind: 0 for kind in KINDS}
+    taken = {kind: sorted((s, e) for k, s, e in base if k == kind) for kind in KINDS}
     for kind, start, end in base_spans(r.text):
         s, e = r.starts[start], r.ends[end - 1]
         if e - s == end - start and text[s:e] == r.text[start:end]:
             continue  # nothing in it was disguised
-        if not any(a < e and s < b for a, b in taken):
+        own = taken[kind]  # without overlaps, as are the spans of the rewritten text: both are passed once
+        while at[kind] < len(own) and own[at[kind]][1] < e:
+            at[kind] += 1
+        if at[kind] == len(own) or s < own[at[kind]][0]:
             out.append((kind, s, e))
     return out
 
@@ -197,7 +220,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, end), code points, end exclusive, by start and then kind.
 
-    ``base`` has the plain identifiers, ``added`` the disguised ones apart from them. Null and empty texts have none;
+    ``base`` has the plain identifiers, ``added`` the disguised ones, which may hold base spans. Null and empty texts have none;
     repeated rows and null ids are rows like any other; an empty table gives an empty result; other columns are ignored.
     """
     spans = "array<struct<kind:string,start:int,end:int>>"
@@ -215,12 +238,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """The text with each span replaced by its kind in angle brackets; where spans overlap, the first one counts."""
+    """The text with each span replaced by its kind in angle brackets; overlapping spans are one, of the first one's kind."""
     out, at = [], 0
     for kind, start, end in sorted(spans, key=_order):
         if start >= at:
             out += (text[at:start], f"<{kind}>")
-            at = end
+        at = max(at, end)
     return "".join(out) + text[at:]
 
 

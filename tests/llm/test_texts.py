@@ -52,6 +52,32 @@ def test_disguises_map_back_to_the_source(text, kind, piece):
     assert pii.masked(text, pii.added_spans(text, base)) == text.replace(piece, f"<{kind}>")
 
 
+@pytest.mark.parametrize(
+    "text, kind, piece",
+    [
+        ("to j\u043ehn@example.com now", "email", "j\u043ehn@example.com"),
+        ("to john@example.c\u043em now", "email", "john@example.c\u043em"),
+        ("to jane[dot]doe@example.com now", "email", "jane[dot]doe@example.com"),
+        ("to jane dot doe@example.com now", "email", "jane dot doe@example.com"),
+        ("to john@example dot com now", "email", "john@example dot com"),
+        ("to jane dot doe@mail.example dot co dot uk now", "email", "jane dot doe@mail.example dot co dot uk"),
+        ("on 192 dot 168 dot 0 dot 1 now", "ip", "192 dot 168 dot 0 dot 1"),
+        ("on 192.168 dot 0.1 now", "ip", "192.168 dot 0.1"),
+        ("on 192 dot one six eight dot 0 dot 1 now", "ip", "192 dot one six eight dot 0 dot 1"),
+    ],
+)
+def test_half_disguised_identifiers_are_masked_whole(text, kind, piece):
+    base = pii.base_spans(text)
+    added = pii.added_spans(text, base)
+    assert [(k, text[s:e]) for k, s, e in added] == [(kind, piece)]
+    assert pii.masked(text, base + added) == text.replace(piece, f"<{kind}>")
+
+
+def test_prose_around_plain_identifiers_is_left_alone():
+    for text in ("mail a@b.co at this point jane@example.com point final", "1 dot 2 dot 3", "300 dot 300 dot 300 dot 300", "4111 1111 1111 1111 dot one", "host 10.0.0.1 dot"):
+        assert pii.added_spans(text, pii.base_spans(text)) == [], text
+
+
 def test_prose_is_left_alone():
     for text in ("look at example.com for it", "we met at noon at the dot", "one two three go", "at dot at dot", "Version 1.2.3 of zero one", "a [dot] in (at) brackets"):
         assert pii.added_spans(text, pii.base_spans(text)) == []
