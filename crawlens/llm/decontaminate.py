@@ -259,9 +259,13 @@ def contaminated(
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; cases as in ``contaminated``."""
-    dirty = cut(contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(dirty, docs[id_col].eqNullSafe(dirty["_id"]), "left_anti")
+    """The rows of ``docs`` that hold no item, with all their columns; cases as in ``contaminated``.
+
+    Rows go by their text, so a clean row stays whatever else has its id or none.
+    """
+    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    dirty = cut(contaminated(marked, items, "_sha", text_col).select(F.col("doc_id").alias("_sha")).distinct(), "contaminated")
+    return marked.join(dirty, "_sha", "left_anti").select(*docs.columns)
 
 
 @query("op6_decontamination")

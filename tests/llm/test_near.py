@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from crawlens.llm import minhash
+from crawlens.llm import decontaminate, minhash, simhash
 from test_dedup import frame
 
 
@@ -71,3 +71,16 @@ def test_near_dedup_of_odd_rows(spark):
     assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == sorted([("None", b), ("5", c), ("4", d), ("3", a), ("7", None)], key=lambda x: (x[0], str(x[1])))
     assert minhash.keep_one(frame(spark, rows).limit(0)).count() == 0
     assert minhash.keep_one(frame(spark, [(1, a), (2, b)])).count() == 2
+
+
+def test_simhash_rows_go_by_themselves(spark):
+    rows = [(None, "one two three"), (None, "other words here"), (4, "One two three"), (5, "five words of the first"), (6, "Five words of the first"), (5, "a second text of it"), (3, "A second text of it")]
+    kept = simhash.keep_one(frame(spark, rows))
+    assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == [("3", "A second text of it"), ("4", "One two three"), ("5", "five words of the first"), ("None", "other words here")]
+
+
+def test_clean_rows_with_the_id_of_a_contaminated_one_stay(spark):
+    item = " ".join(f"i{n}" for n in range(30))
+    rows = [(None, f"before {item} after"), (None, "clean words of its own"), (None, None), (2, f"{item} then"), (2, "also clean"), (3, "")]
+    clean = decontaminate.keep_clean(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((str(x.doc_id), str(x.text)) for x in clean.collect()) == [("2", "also clean"), ("3", ""), ("None", "None"), ("None", "clean words of its own")]
