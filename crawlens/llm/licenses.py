@@ -61,9 +61,33 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 _THIRD_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
@@ -75,6 +99,19 @@ _WORD = re.compile(r"[^\W_]+")
 #: Share of a template's words that may be missing or added, and share of its bytes that must be saved.
 MAX_DIFFERENT, LEAST_SAVED = 0.1, 0.25
 # Words of the notices that don't tell which license is meant.
+_NAME_WORDS = frozenset("gnu lesser library affero mozilla mpl apache eclipse boost zlib gpl lgpl agpl bsd mit isc".split())
+_VERSION = re.compile(r"v?[0-9]{1,2}")
+# What one line says exactly, by SPDX identifier or a name made of it; "+", "-only" and "-or-later" are a part of it.
+_SHORT = {
+    **{i: re.escape(i).replace(r"\-", "[ -]") for i in NAMES},
+    **{f"{g}-{v}": rf"{g}[ -]?v?{re.escape(v).removesuffix('0').removesuffix(chr(92) + '.')}(?:\.0)?" for g, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))},
+}
+_SHORT_ID = "|".join(f"(?P<x{n}>{p})" for n, p in enumerate(_SHORT.values()))
+_IDENTIFIER = re.compile(rf"(?<![\w.-])(?:{_SHORT_ID})(?:-only|-or-later|\+)?(?![\w+-]|\.[0-9])")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.I)
+_SPDX_WORD = re.compile(r"[ \t(]*(?:(AND|OR|WITH)(?![\w-])|([A-Za-z0-9.+:-]+))[ \t)]*", re.I)
+_NAMED = re.compile(rf"(?i:\b(?:licensed|released|distributed|available)[ ]under[ ](?:the[ ])?(?:terms[ ]of[ ](?:the[ ])?)?){_IDENTIFIER.pattern}(?i:[ ]licen[sc]e\b)?")
+_UNDER = ("released under ", "distributed under ", "available under ")
 _COMMON = frozenset("a the this work is licensed released distributed available under terms of license version v international public".split())
 
 
@@ -134,8 +171,8 @@ def blocks(text: str, cues: list[int], reach: int) -> Iterator[tuple[int, int]]:
 def wording(template: Template, words: list[str]) -> tuple[int, int, list[str]] | None:
     """(first word, end, differences) of the template in a block's words, or None where too much differs.
 
-    Differences are words missing ("-word") and added ("+word") within the span. In notices, none of them may be of
-    the license's name.
+    Differences are words missing ("-word") and added ("+word") within the span. None of them may be of the license's
+    name or, where it has one, its version.
     """
     matcher = SequenceMatcher(None, template.words, words, autojunk=False)
     runs = [m for m in matcher.get_matching_blocks() if m.size]
@@ -154,16 +191,36 @@ def wording(template: Template, words: list[str]) -> tuple[int, int, list[str]]
         return None
     if len(template.words) < 20 and any(d[1:] not in _COMMON for d in differences):
         return None
+    versioned = template.license_id[-2:-1] == "."
+    if any(d[1:] in _NAME_WORDS or versioned and _VERSION.fullmatch(d[1:]) for d in differences):
+        return None
     return start, end, differences
 
 
+def named_exactly(text: str) -> Iterator[tuple[str, int, int]]:
+    """(license, start, end) of SPDX lines, one for each known identifier of the expression, and of "licensed under MIT"."""
+    license_ids = list(_SHORT)
+    for line in _SPDX.finditer(text):
+        start, at, ended = line.start(), line.start(1), False
+        # Identifiers and operators take turns; what follows two identifiers in a row is prose.
+        while m := _SPDX_WORD.match(text, at, line.end(1)):
+            if m[2] and ended:
+                break
+            ended = bool(m[2])
+            if m[2] and (known := _IDENTIFIER.match(text, m.start(2))):
+                yield license_ids[int(known.lastgroup[1:])], start, known.end()
+            start = at = m.end()
+    for m in _NAMED.finditer(text):
+        yield license_ids[int(m.lastgroup[1:])], m.start(), m.end()
+
+
 def licenses_in(text: str) -> list[tuple[str, int, int, int, float, list[str]]]:
     """(license, start, end, bytes saved, share of the template saved, differences), spans in code points, in order."""
     lower = text.lower()
-    if not any(c in lower for c in CUES):
+    if not any(c in lower for c in CUES) and not any(v in lower for v in _UNDER):
         return []
     cues = [m.start() for m in _CUE.finditer(text)]
-    found = []
+    found = [(*x, 0, 0.0, []) for x in named_exactly(text)]  # nothing is compressed for these
     for reach, group in templates():
         for low, high in blocks(text, cues, reach):
             block = text[low:high]

@@ -114,6 +114,25 @@ def test_licenses_are_found_with_their_wording():
     assert [f[0] for f in licenses.licenses_in("Released under the MIT License. " * 30)] == ["MIT"] * 30
 
 
+def test_license_names_and_versions_are_not_differences():
+    header = licenses.TEXTS["GPL-3.0"]
+    for text, license_id in (
+        (licenses.TEXTS["GPL-2.0"], "GPL-2.0"), (header.replace("version 3", "version 2"), "GPL-2.0"), (header.replace("GNU General", "GNU Affero General"), "AGPL-3.0"),
+        (header.replace("GNU General", "GNU Lesser General"), "LGPL-3.0"), (header, "GPL-3.0"), (licenses.TEXTS["BSL-1.0"], "BSL-1.0"),
+    ):
+        assert [f[0] for f in licenses.licenses_in("Prose.\n\n" + text + "\n\nMore.")] == [license_id]
+    assert licenses.licenses_in(header.replace("version 3", "version 7")) == []
+
+
+def test_spdx_identifiers_and_short_names():
+    for text, found in (
+        ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]), ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later", ["MIT", "Apache-2.0", "GPL-2.0"]),
+        ("SPDX-License-Identifier: MIT-0", []), ("SPDX-License-Identifier: Foo", []), ("SPDX-License-Identifier: MIT see Apache-2.0", ["MIT"]),
+        ("It is licensed under MIT.", ["MIT"]), ("Released under GPLv3, so", ["GPL-3.0"]), ("Licensed under Apache 2.0", ["Apache-2.0"]), ("study under MIT supervision, licensed", []),
+    ):
+        assert [f[0] for f in licenses.licenses_in(text)] == found, text
+
+
 def test_license_scan_of_odd_rows(spark):
     rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, None), (3, ""), (None, "Licensed under CC BY 4.0")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"license": F.lit(1), "start": F.lit(2)})
