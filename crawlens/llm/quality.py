@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     seen = sum(r["bags"] for r in sums)
     rate = sum(r["ones"] for r in sums) / seen if seen else 0.5
-    if not 0 < rate < 1:
+    if not seen or not 0 < rate < 1:
         return QualityModel(None, rate)
     n = sum(r["n"] for r in sums)
     mean = np.sum([r["sums"] for r in sums], axis=0) / n
