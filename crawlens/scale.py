@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,37 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, keys: Sequence[str], name: str) -> Iterator[DataFrame]:
+    """``df`` written to the shared folder in buckets of ``keys``, for rounds of joins that leave it where it is.
+
+    The table's name is forgotten at the end; what is derived from it must be written by then.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = f"crawlens_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/crawlens/{spark.sparkContext.applicationId}/{known}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(known)
+    try:
+        yield spark.table(known)
+    finally:
+        spark.sql(f"drop table if exists {known}")
+
+
+def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``rank``: the place of a row in the whole order, from 0; written.
+
+    Ranges of the order go to tasks, each numbers its own rows; what comes before a range is one number for each task.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("_part", before.alias("_before"))  # a row for each task
+    own = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn("rank", own).drop("_part", "_at", "_before")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores where the input came in fewer pieces (a file of one row group is one task), else as they are.
 

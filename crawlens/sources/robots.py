@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlens.functions import url as U
+from crawlens.scale import spread_lookup
 
 OWN_TOKEN = "crawlensbot"
 
@@ -68,31 +69,62 @@ def pattern_regex(pattern: Column) -> Column:
     )
 
 
+def _literal(pattern: Column) -> Column:
+    """What a pattern begins with before its first ``*`` or closing ``$``."""
+    return F.regexp_extract(F.regexp_replace(pattern, r"\$$", ""), r"^[^*]*", 0)
+
+
+INDEX = "array<struct<prefix: string, rules: array<struct<len: int, allow: boolean, rx: string>>, chain: array<int>>>"
+
+
 def policies(robots: DataFrame, token: str = OWN_TOKEN) -> DataFrame:
-    """One row per site with its rules as an array; a file holds few of them."""
-    return directives(robots, token).groupBy("site_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.length("pattern").alias("len"), "allow", pattern_regex(F.col("pattern")).alias("rx")))
-        ).alias("rules")
+    """(site_id, index): one row per site with its rules, sorted by the literal text they begin with.
+
+    An entry holds the rules of one beginning (``rx`` where more than that has to match) and the places of all entries
+    that its own beginning starts with, itself included. Together those are no longer than the file.
+    """
+    own = directives(robots, token).select("site_id", _literal(F.col("pattern")).alias("prefix"), "pattern", "allow")
+    plain = F.col("prefix") == F.col("pattern")
+    rule = F.struct(F.length("pattern").alias("len"), "allow", F.when(~plain, pattern_regex(F.col("pattern"))).alias("rx"))
+    grouped = own.groupBy("site_id", "prefix").agg(F.collect_set(rule).alias("rules"))
+    sites = grouped.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("prefix", "rules"))).alias("sorted"))
+    placed = sites.select("site_id", F.posexplode("sorted").alias("place", "entry")).select("site_id", "place", "entry.*")
+    starts = placed.select("site_id", "place", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda n: F.left("prefix", n))).alias("prefix"))
+    chains = starts.join(placed.select("site_id", "prefix", F.col("place").alias("above")), ["site_id", "prefix"]).groupBy("site_id", "place").agg(F.collect_list("above").alias("chain"))
+    whole = placed.join(chains, ["site_id", "place"])
+    entry = F.struct("place", "prefix", "rules", "chain")
+    return whole.groupBy("site_id").agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
+        "site_id", F.transform("e", lambda x: F.struct(x["prefix"].alias("prefix"), x["rules"].alias("rules"), x["chain"].alias("chain"))).cast(INDEX).alias("index")
     )
 
 
-def verdict(rules: Column, url: Column) -> Column:
-    """Longest matching pattern wins, Allow on a tie, no match means allowed."""
+def verdict(index: Column, url: Column) -> Column:
+    """Longest matching pattern wins, Allow on a tie, no match means allowed.
+
+    Halving finds the last entry that is not after the URL; whatever the URL starts with is on that entry's chain. So
+    few rules are looked at, however many a file has, and only patterns with more than a beginning are matched.
+    """
     target = U.path_and_query(url)
-    matching = F.filter(rules, lambda r: F.rlike(target, r["rx"]))
-    return F.coalesce(
-        F.array_max(F.transform(matching, lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow"))))["allow"],
-        F.lit(True),
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(index) + F.lit(1.0))).cast("int") + 1)
+    middle = lambda s: F.shiftright(s["low"] + s["high"], 1)
+    bounds = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    found = F.reduce(
+        steps, bounds(F.lit(0), F.size(index)),
+        lambda s, _: F.when(s["low"] >= s["high"], s)
+        .when(F.get(index, middle(s))["prefix"] <= target, bounds(middle(s) + 1, s["high"]))
+        .otherwise(bounds(s["low"], middle(s))),
     )
+    above = F.get(index, found["low"] - 1)["chain"]
+    starting = F.filter(F.transform(above, lambda i: F.get(index, i)), lambda e: F.startswith(target, e["prefix"]))
+    matching = F.flatten(F.transform(starting, lambda e: F.filter(e["rules"], lambda r: r["rx"].isNull() | F.rlike(target, r["rx"]))))
+    best = F.array_max(F.transform(matching, lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow"))))
+    return F.coalesce(best["allow"], F.lit(True))
 
 
 def with_verdict(urls: DataFrame, robots: DataFrame, url: str = "url", token: str = OWN_TOKEN) -> DataFrame:
-    """Adds ``allowed``. The rules of a site travel as one row, so every URL is
-    matched inside its own task; URLs are neither multiplied nor regrouped."""
-    rules = policies(robots, token)
-    return (
-        urls.join(rules, "site_id", "left")
-        .withColumn("allowed", verdict(F.col("rules"), F.col(url)))
-        .drop("rules")
-    )
+    """Adds ``allowed``. The rules of a site travel as one row, so every URL is matched inside its own task.
+
+    The URLs of a site that holds a large part of all are dealt to several tasks, its row to each of them.
+    """
+    joined = spread_lookup(urls, policies(robots, token), ["site_id"], F.xxhash64(url))
+    return joined.withColumn("allowed", verdict(F.col("index"), F.col(url))).drop("index")

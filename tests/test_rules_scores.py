@@ -1,11 +1,13 @@
 """Rules by one-field changes of a healthy page, score examples, skew helpers, stored-crawl operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from crawlens import catalogue
 from crawlens.operators import issues, links, page_rules, scoring
-from crawlens.scale import first_n, sample_lists, spread_lookup
+from crawlens.scale import bucketed, first_n, ranked, sample_lists, spread_lookup
 
 HEALTHY = {
     "url": "https://example.com/", "status_code": 200, "title": "A page title of a sensible length here", "meta_description": "a" * 120, "h1": ["One"],
@@ -123,6 +125,50 @@ def test_depth_does_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def _plain_depths(edges, seeds):
+    reached, front, level = dict.fromkeys(seeds, 0), set(seeds), 0
+    while front:
+        level += 1
+        front = {b for a, b in edges if a in front} - set(reached)
+        reached.update(dict.fromkeys(front, level))
+    return reached
+
+
+def test_depths_over_blocks_and_rounds(spark):
+    """A chain of 200 pages with links home, shortcuts that cross blocks forwards and back, and a small crawl beside it."""
+    rng = random.Random(4)
+    big = [(i, i + 1) for i in range(199)] + [(i, 0) for i in range(200)] + [(rng.randrange(200, 400), rng.randrange(400)) for _ in range(300)] + [(199, 399), (399, 390), (390, 200), (3, 3)]
+    small = [(0, 1), (1, 2), (2, 0), (7, 8)]
+    rows = [("big", a, b) for a, b in big] + [("small", a, b) for a, b in small] + [("big", 5, None)]
+    resolved = spark.createDataFrame(rows, "crawl_id string, from_page_id long, to_page_id long")
+    pages = spark.createDataFrame([("big", i, f"u{i:04}", i in (0, 250)) for i in range(400)] + [("small", i, f"u{i}", i == 0) for i in range(9)], "crawl_id string, page_id long, url string, is_seed boolean")
+    expected = {("big", p): d for p, d in _plain_depths(big, [0, 250]).items()} | {("small", p): d for p, d in _plain_depths(small, [0]).items()}
+    for block, most in ((1000, 1), (50, 14), (7, 70)):
+        rounds = []
+        assert {(r.crawl_id, r.page_id): r.depth for r in links.click_depths(resolved, pages, block, rounds).collect()} == expected
+        assert rounds[0] <= most
+    none = links.click_depths(resolved, pages.withColumn("is_seed", F.lit(False)), 50)
+    assert none.collect() == [] and links.click_depths(resolved.limit(0), pages, 50).count() == 3
+
+
+def test_rounds_leave_links_in_their_buckets(spark):
+    edges = spark.range(100).select((F.col("id") % 9).alias("crawl_id"), F.lit(0).cast("long").alias("block"), F.col("id").alias("page_id"))
+    with bucketed(edges, ["crawl_id", "block"], "probe") as stored:
+        few = stored.where("page_id < 3").groupBy("crawl_id", "block").agg(F.max("page_id").alias("m"))
+        plan = stored.groupBy("crawl_id", "block").cogroup(few.groupBy("crawl_id", "block")).applyInArrow(lambda a, b: a.select(["page_id"]), "page_id long")
+        assert plan.count() == 100
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+        name = [t.name for t in spark.catalog.listTables() if t.name.startswith("crawlens_probe")]
+    assert len(name) == 1 and not spark.catalog.tableExists(name[0])
+
+
+def test_ranks_are_places_in_the_order(spark):
+    rows = spark.range(500).select((F.col("id") * 7919 % 211).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("s")).repartition(7)
+    got = ranked(rows, ["k", "s"], "probe").collect()
+    assert [(r.k, r.s) for r in sorted(got, key=lambda r: r.rank)] == sorted([(r.k, r.s) for r in got], key=lambda v: (v[0], v[1] is not None, v[1] or "")) and sorted(r.rank for r in got) == list(range(500))
+    assert ranked(rows.limit(0), ["k"], "probe").collect() == []
+
+
 def test_redirects_are_followed_to_their_end(spark):
     rows = [("c", f"p{i}", f"u{i}", f"u{i + 1}" if i < 8 else None) for i in range(9)] + [("c", "x", "ux", "uy"), ("c", "y", "uy", "ux"), ("c", "z", "uz", "uz")]
     pages = spark.createDataFrame(rows, "crawl_id string, page_id string, url string, redirect_to string")

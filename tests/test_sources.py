@@ -1,4 +1,6 @@
 import datetime
+import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -123,6 +125,37 @@ def test_robots(spark):
     assert [r.sitemap_url for r in robots.sitemap_urls(maps).orderBy("n").collect()] == ["https://e.com/1.xml", "https://e.com/2.xml"]
 
 
+def test_robots_files_of_many_rules(spark):
+    """5 000 rules of nested, shared and wildcard beginnings, and a site with nine of ten URLs, against a plain matcher."""
+    rng = random.Random(9)
+    part = lambda: rng.choice(["a", "b", "ab", "ö", "x-1", "q?"])
+    patterns = {"/" + "/".join(part() for _ in range(rng.randint(0, 6))) + rng.choice(["", "", "", "/", "*", "$", "*b", "/*/a$", "*.pdf$"]) for _ in range(9000)}
+    rules = [(p, rng.random() < 0.4) for p in sorted(patterns)[:5000]] + [("/ab", True), ("/ab", False), ("*", False)]
+    body = "User-agent: *\n" + "\n".join(f"{'Allow' if allow else 'Disallow'}: {p}" for p, allow in rules)
+    paths = ["/" + "/".join(part() for _ in range(rng.randint(0, 7))) + rng.choice(["", "/", ".pdf", "b"]) for _ in range(700)]
+
+    def regex(pattern):
+        body, end = (pattern[:-1], "$") if pattern.endswith("$") else (pattern, "")
+        return re.compile("".join(".*" if c == "*" else re.escape(c) for c in body) + end)
+
+    tried = [(regex(p), len(p), allow) for p, allow in rules]
+
+    def allowed(path):
+        return max(((n, allow) for rx, n, allow in tried if rx.match(path)), default=(0, True))[1]
+
+    rows = [("big", f"https://e.com{p}") for p in paths] + [("small", f"https://e.com{p}") for p in paths[:70]] + [("none", "https://e.com/ab"), ("big", None)]
+    table = spark.createDataFrame([("big", body), ("small", "User-agent: *\nDisallow: /a")], "site_id string, body string")
+    got = robots.with_verdict(spark.createDataFrame(rows, "site_id string, url string"), table).collect()
+    want = {p: allowed(p) for p in set(paths)}
+    assert len(got) == len(rows) and 100 < sum(want.values()) < len(want) - 100
+    for r in got:
+        path = r.url and r.url.removeprefix("https://e.com")
+        assert r.allowed == (True if path is None or r.site_id == "none" else want[path] if r.site_id == "big" else not path.startswith("/a")), (r, path)
+    entries = robots.policies(table).where("site_id = 'big'").first()["index"]
+    assert sum(len(e["chain"]) for e in entries) <= len(body)
+
+
+
 def test_sitemaps(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     urls = lambda *u: f"<urlset {ns}>" + "".join(f"<url><loc> {x} </loc></url>" for x in u) + "</urlset>"
