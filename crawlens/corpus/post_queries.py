@@ -13,7 +13,8 @@ from crawlens.corpus.registry import query
 from crawlens.functions import text as T
 from crawlens.functions import url as U
 from crawlens.operators import brands, content, crawl_rules, headlines, posts, selection
-from crawlens.scale import shared_dir, spread
+from crawlens.plans.audit import audit_tables
+from crawlens.scale import cut, shared_dir, spread
 from crawlens.sources import sinks
 from crawlens.streaming import jobs as streams
 
@@ -537,22 +538,45 @@ def _arrived(spark, sf):
     return root, streams.unique_fetches(streams.read_fetches(spark, f"{root}/in", files_per_trigger=2))
 
 
-@query("streaming_audit", sql("SELECT crawl_id, url, rule_code, found FROM page_findings WHERE rule_code <> 'IMAGE_TOO_LARGE'"))
+def _sizes(spark, sf):
+    return stage.image_sizes(stage.pages(spark, sf))
+
+
+@query("streaming_audit", sql("SELECT crawl_id, url, rule_code, found FROM page_findings"))
 def streaming_audit(spark, sf):
-    """Findings are written per micro-batch and read back."""
+    """Findings are written per micro-batch and read back; images are measured as their pages arrive."""
     root, arriving = _arrived(spark, sf)
-    streams.persist_batches(streams.stream_findings(arriving), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    sizes = _sizes(spark, sf)
+    streams.persist_batches(arriving, f"{root}/out", f"{root}/checkpoint", made=lambda batch: streams.stream_findings(batch, image_sizes=sizes)).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("crawl_id", "url", "rule_code", "found")
 
 
-def _counted(spark, sf, made, running):
-    """What a second stream counts over the rows that a first one writes."""
-    root, arriving = _arrived(spark, sf)
-    streams.persist_batches(made(arriving), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
-    schema = spark.read.parquet(f"{root}/rows").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/rows")
-    streams.persist_batches(running(rows), f"{root}/counts", f"{root}/checkpoint-counts", mode="update").awaitTermination()
-    return spark.read.parquet(f"{root}/counts")
+@query("streaming_crawl_end", sql("SELECT crawl_id, rule_code, severity, url, found, array_to_string(samples, '|') AS samples FROM issues"))
+def streaming_crawl_end(spark, sf):
+    """Documents arrive in no order, some twice, then the ends of their crawls: each crawl is audited whole when it ends."""
+    root = f"{shared_dir(spark)}/crawlens/stream-{uuid.uuid4().hex}"
+    columns = [f.split()[0] for f in streams.FS.FETCH_SCHEMA.split(", ")]
+    rows = inputs.load(spark, sf, "fetches").select(*columns, F.lit(None).cast("string").alias("event"))
+    rows.unionByName(rows.where("is_seed")).repartition(6, F.xxhash64("url", "crawl_id")).write.parquet(f"{root}/in")
+    crawls = inputs.load(spark, sf, "crawls0")
+    kinds = dict(rows.dtypes)
+    blank = {"bigint": F.lit(0).cast("bigint"), "int": F.lit(0), "boolean": F.lit(False)}
+    ends = crawls.select(*[F.col(c) if c in ("crawl_id", "site_id", "base_url") else F.lit(streams.END).alias(c) if c == "event"
+                           else blank.get(kinds[c], F.lit(None).cast(kinds[c])).alias(c) for c in rows.columns])
+    ends.coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def run(ended, facts):
+        pages = streams.FS.page_rows(facts).withColumn("is_asset", F.lit(False))
+        pages = cut(streams.FS.measured_images(pages, _sizes(spark, sf)), "pages")
+        own = crawls.join(ended, "crawl_id", "left_semi")
+        found = audit_tables(pages, cut(streams.FS.link_rows(facts), "links"), own, inputs.load(spark, sf, "robots"), stage.sitemaps(spark, sf), stage.crawl_vitals(spark, sf))
+        return found.issues.join(found.pages.select("crawl_id", "page_id", "url"), ["crawl_id", "page_id"])
+
+    events = streams.read_fetches(spark, f"{root}/in", streams.EVENT_SCHEMA, files_per_trigger=3)
+    streams.audit_on_end(events, f"{root}/out", f"{root}/checkpoint", run, parts=4).awaitTermination()
+    return spark.read.parquet(f"{root}/out/audited").select(
+        "crawl_id", "rule_code", "severity", "url", F.col("evidence.found").alias("found"), F.array_join("evidence.sample_urls", "|").alias("samples")
+    )
 
 
 @query("streaming_progress", sql("SELECT crawl_id, count(*) AS pages_crawled FROM facts GROUP BY 1"))
@@ -562,8 +586,8 @@ def streaming_progress(spark, sf):
 
 
 @query("streaming_issue_counts", sql("""SELECT f.crawl_id, r.severity, count(*) AS issues FROM page_findings f JOIN rules r ON r.rule_code = f.rule_code
-WHERE f.rule_code <> 'IMAGE_TOO_LARGE' GROUP BY 1, 2"""))
+GROUP BY 1, 2"""))
 def streaming_issue_counts(spark, sf):
     """The last of the running issue counts of each crawl and severity."""
-    found = lambda a: streams.stream_findings(a).select("crawl_id", "rule_code", "severity")
+    found = lambda batch: streams.stream_findings(batch, image_sizes=_sizes(spark, sf)).select("crawl_id", "rule_code", "severity")
     return streams.latest(_counted(spark, sf, found, streams.running_issue_counts), ["crawl_id", "severity"])

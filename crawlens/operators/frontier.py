@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlens.functions import url as U
-from crawlens.scale import first_n
+from crawlens.scale import cut, first_n
 from crawlens.sources import robots as R
 
 
@@ -112,9 +112,9 @@ def next_frontier(
     Ranking inside a crawl is cut by a group limit before the shuffle, so the
     budget bounds what any task has to sort.
     """
-    judged = judge_urls(
+    judged = cut(judge_urls(
         candidates.join(seen.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti"), robots, settings, token
-    )
+    ), "judged")
     accepted = judged.where(F.col("decision").startswith("accept")).withColumn("is_asset", U.is_likely_asset(F.col("url")))
     used = seen.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("used"))
     order = [F.col("first"), F.col("url")]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlens.functions import url as U
-from crawlens.scale import spread_lookup
+from crawlens.scale import cut, spread_lookup
 
 OWN_TOKEN = "crawlensbot"
 
@@ -88,23 +88,24 @@ def policies(robots: DataFrame, token: str = OWN_TOKEN) -> DataFrame:
     rule = F.struct(F.length("pattern").alias("len"), "allow", F.when(~plain, pattern_regex(F.col("pattern"))).alias("rx"))
     grouped = own.groupBy("site_id", "prefix").agg(F.collect_set(rule).alias("rules"))
     sites = grouped.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("prefix", "rules"))).alias("sorted"))
-    placed = sites.select("site_id", F.posexplode("sorted").alias("place", "entry")).select("site_id", "place", "entry.*")
-    starts = placed.select("site_id", "place", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda n: F.left("prefix", n))).alias("prefix"))
-    chains = starts.join(placed.select("site_id", "prefix", F.col("place").alias("above")), ["site_id", "prefix"]).groupBy("site_id", "place").agg(F.collect_list("above").alias("chain"))
-    whole = placed.join(chains, ["site_id", "place"])
-    entry = F.struct("place", "prefix", "rules", "chain")
-    return whole.groupBy("site_id").agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
-        "site_id", F.transform("e", lambda x: F.struct(x["prefix"].alias("prefix"), x["rules"].alias("rules"), x["chain"].alias("chain"))).cast(INDEX).alias("index")
-    )
-
-
-def verdict(index: Column, url: Column) -> Column:
-    """Longest matching pattern wins, Allow on a tie, no match means allowed.
-
-    Halving finds the last entry that is not after the URL; whatever the URL starts with is on that entry's chain. So
+    # Entry by entry: of the chain of the one before, what the entry starts with as well, and itself.
+    nothing = F.array().cast("array<int>")
+    chains = F.reduce(
+        "sorted", F.array().cast("array<array<int>>"),
+        lambda made, e: F.concat(made, F.array(F.concat(
+            F.filter(F.coalesce(F.get(made, F.size(made) - 1), nothing), lambda i: F.startswith(e["prefix"], F.get(F.col("sorted"), i)["prefix"])), F.array(F.size(made))
+        ))),
+    )
+    whole = F.transform(F.arrays_zip(F.col("sorted").alias("e"), F.col("chains").alias("c")), lambda z: F.struct(z["e"]["prefix"].alias("prefix"), z["e"]["rules"].alias("rules"), z["c"].alias("chain")))
+    return sites.withColumn("chains", chains).select("site_id", whole.cast(INDEX).alias("index"))
+
+
+def verdict(index: Column, target: Column) -> Column:
+    """Whether ``target`` (path and query of a URL) is allowed. Longest matching pattern wins, Allow on a tie, no match means allowed.
+
+    Halving finds the last entry that is not after the target; whatever the target starts with is on that entry's chain. So
     few rules are looked at, however many a file has, and only patterns with more than a beginning are matched.
     """
-    target = U.path_and_query(url)
     steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(index) + F.lit(1.0))).cast("int") + 1)
     middle = lambda s: F.shiftright(s["low"] + s["high"], 1)
     bounds = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
@@ -124,7 +125,9 @@ def verdict(index: Column, url: Column) -> Column:
 def with_verdict(urls: DataFrame, robots: DataFrame, url: str = "url", token: str = OWN_TOKEN) -> DataFrame:
     """Adds ``allowed``. The rules of a site travel as one row, so every URL is matched inside its own task.
 
-    The URLs of a site that holds a large part of all are dealt to several tasks, its row to each of them.
+    The URLs of a site that holds a large part of all are dealt to several tasks, its row to each of them; for that
+    they are counted, and written first.
     """
-    joined = spread_lookup(urls, policies(robots, token), ["site_id"], F.xxhash64(url))
-    return joined.withColumn("allowed", verdict(F.col("index"), F.col(url))).drop("index")
+    asked = cut(urls.withColumn("_target", U.path_and_query(F.col(url))), "asked")
+    joined = spread_lookup(asked, policies(robots, token), ["site_id"], F.xxhash64(url))
+    return joined.withColumn("allowed", verdict(F.col("index"), F.col("_target"))).drop("index", "_target")

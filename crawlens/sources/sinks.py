@@ -20,12 +20,12 @@ def write_by_crawl(df: DataFrame, path: str, sort_by: str | None = None) -> None
     df = df.hint("rebalance", "crawl_id")
     if sort_by:
         df = df.sortWithinPartitions("crawl_id", sort_by)
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("crawl_id")
-        .parquet(path)
-    )
+    replace_partitions(df, path, ["crawl_id"])
+
+
+def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Replace exactly the partitions that ``df`` has rows of."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def export_rows(jobs: DataFrame, variants: DataFrame) -> DataFrame:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crawlens.functions import url as U
 from crawlens.operators import page_rules
+from crawlens.scale import cut
 from crawlens.sources import fetches as FS
 from crawlens.sources import sinks
 
+#: Fetches and, with ``event`` "end" and else a crawl_id only, the ends of crawls.
+END = "end"
+EVENT_SCHEMA = f"{FS.FETCH_SCHEMA}, event string"
+
 
 def read_fetches(spark: SparkSession, path: str, schema: str = FS.FETCH_SCHEMA, files_per_trigger: int = 200) -> DataFrame:
     """Parquet files appended to ``path``; the trigger limit bounds a micro-batch."""
@@ -29,14 +36,76 @@ def unique_fetches(fetches: DataFrame) -> DataFrame:
     return fetches.withColumn("url_hash", U.url_hash(F.col("url"))).dropDuplicates(["crawl_id", "url_hash"]).drop("url_hash")
 
 
+def until_end(events: DataFrame, parts: int = 64) -> DataFrame:
+    """First arrival of each URL of a crawl until the crawl's end, then the end itself; the state goes with it.
+
+    The URLs of a crawl are dealt to ``parts`` keys, so a large crawl has its state in many tasks; an end reaches all of
+    them, and one passes it on. What arrives with the end in one micro-batch still belongs before it. What arrives later
+    is kept as well and waits for another end: the audit that follows then covers both.
+    """
+    ends = F.coalesce(F.col("event") == END, F.lit(False))
+    own = F.array(F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int"))
+    dealt = events.withColumn("_hash", U.url_hash(F.col("url"))).withColumn("_part", F.explode(F.when(ends, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(own)))
+    columns = events.columns
+
+    def arrivals(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = set(state.get[0]) if state.exists else set()
+        end = None
+        for frame in frames:
+            closing = frame["event"] == END
+            if closing.any():
+                end = frame[closing].head(1)
+            new = frame[~closing].drop_duplicates("_hash")
+            new = new[~new["_hash"].isin(seen)]
+            seen.update(new["_hash"])
+            yield new[columns]
+        if end is None:
+            state.update((list(seen),))
+            return
+        if state.exists:
+            state.remove()
+        if key[1] == 0:
+            yield end[columns]
+
+    return dealt.groupBy("crawl_id", "_part").applyInPandasWithState(arrivals, events.schema, "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def audit_on_end(
+    events: DataFrame, path: str, checkpoint: str, run: Callable[[DataFrame, DataFrame], DataFrame], parts: int = 64, **trigger
+) -> StreamingQuery:
+    """Store the facts of arriving documents; when a crawl ends, audit it once.
+
+    ``run(ended, facts)`` gets the ids of the crawls that ended in a micro-batch and all their facts, and gives rows
+    with a crawl_id, which replace those crawls under ``path``/audited. Facts stand under ``path``/facts by crawl and
+    batch. A replayed batch replaces what it wrote before, so facts and audits are there once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        facts = FS.page_facts(FS.extract(batch)).withColumn("batch_id", F.lit(batch_id))
+        sinks.replace_partitions(facts, f"{path}/facts", ["crawl_id", "batch_id"])
+        stored = batch.sparkSession.read.schema(facts.schema).parquet(f"{path}/facts")
+        ended = stored.where((F.col("batch_id") == batch_id) & (F.col("event") == END)).select("crawl_id").distinct()
+        if not ended.isEmpty():
+            whole = stored.where(F.col("event").isNull()).join(ended, "crawl_id", "left_semi").drop("batch_id", "event")
+            # A URL that came again after an earlier end of its crawl counts once.
+            audit_finished(ended, lambda crawls: run(crawls, whole.dropDuplicates(["crawl_id", "url_hash"])), f"{path}/audited")
+
+    return until_end(events, parts).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def stream_pages(fetches: DataFrame) -> DataFrame:
     """Stateless page rows (append mode)."""
     return FS.page_rows(FS.page_facts(FS.extract(fetches))).withColumn("is_asset", F.lit(False))
 
 
-def stream_findings(fetches: DataFrame, rules=page_rules.DEFAULT_RULES) -> DataFrame:
-    """Page findings of each document on arrival; anchors come from the page itself, so no join is needed."""
+def stream_findings(fetches: DataFrame, rules=page_rules.DEFAULT_RULES, image_sizes: DataFrame | None = None) -> DataFrame:
+    """Page findings of each document on arrival; anchors come from the page itself, so no join is needed.
+
+    With ``image_sizes`` (measured when a page arrives) ``fetches`` is a micro-batch: images meet their sizes in it.
+    """
     facts = FS.page_facts(FS.extract(fetches))
+    if image_sizes is not None:
+        facts = cut(facts, "arrived")
     anchors = F.transform(
         F.filter(
             F.transform(
@@ -48,6 +117,8 @@ def stream_findings(fetches: DataFrame, rules=page_rules.DEFAULT_RULES) -> DataF
         lambda l: l["text"],
     )
     rows = FS.page_rows(facts.withColumn("internal_anchor_texts", anchors), keep=["internal_anchor_texts"])
+    if image_sizes is not None:
+        rows = FS.measured_images(rows, image_sizes)
     return page_rules.page_findings(page_rules.rule_input(rows), rules)
 
 
@@ -62,24 +133,17 @@ def running_issue_counts(findings: DataFrame) -> DataFrame:
 
 
 def persist_batches(
-    stream: DataFrame, path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append", **trigger
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", made: Callable[[DataFrame], DataFrame] | None = None, **trigger
 ) -> StreamingQuery:
     """Write each micro-batch under its own batch id, so a replayed batch replaces itself.
 
-    ``on_batch`` sees the batch as well, e.g. to audit crawls that have ended. Running counts go in ``mode`` "update";
-    of a key's rows, the one with the largest batch id counts (``latest``).
+    ``made`` turns a micro-batch into what is written. Running counts go in ``mode`` "update"; of a key's rows, the one
+    with the largest batch id counts (``latest``).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        rows = batch.withColumn("batch_id", F.lit(batch_id))
-        (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(path)
-        )
-        if on_batch is not None:
-            on_batch(batch, batch_id)
-        batch.unpersist()
+        rows = batch if made is None else made(batch)
+        sinks.replace_partitions(rows.withColumn("batch_id", F.lit(batch_id)), path, ["batch_id"])
 
     return (
         stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -218,6 +218,34 @@ def test_streams_keep_urls_that_arrive_late(spark, tmp_path):
     assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [f"http://s/{i}" for i in range(4)]
 
 
+def test_ends_of_crawls_clear_their_state(spark, tmp_path):
+    """Two crawls; one ends, gets a late URL, ends again: audits see whole crawls, and nothing stays in the state."""
+    schema = "crawl_id string, url string, status_code int, event string"
+    batches = [
+        [("a", "http://s/1", 200, None), ("a", "http://s/2", 200, None), ("b", "http://s/1", 200, None), ("a", "http://s/1", 200, None)],
+        [("a", "http://s/2", 200, None), ("b", "http://s/2", 404, None), ("a", "http://s/3", 200, None)],
+        [("a", None, 0, "end"), ("a", "http://s/4", 200, None)],
+        [("a", "http://s/5", 200, None), ("a", "http://s/1", 200, None), ("b", None, 0, "end")],
+        [("a", None, 0, "end")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    columns = {"html": "''", "base_url": "'http://s'", "content_type": "'text/html'", "redirect_count": "0", "final_url": "url", "x_robots_tag": "cast(null as string)"}
+    arriving = jobs.read_fetches(spark, f"{tmp_path}/in", schema, files_per_trigger=1).selectExpr("*", *[f"{v} as {k}" for k, v in columns.items()])
+    audited = []
+
+    def run(ended, facts):
+        audited.append({r.crawl_id: r.n for r in facts.groupBy("crawl_id").agg(F.count("url").alias("n")).collect()})
+        return facts.select("crawl_id", "url", "status_code")
+
+    query = jobs.audit_on_end(arriving, f"{tmp_path}/out", f"{tmp_path}/checkpoint", run, parts=3)
+    query.awaitTermination()
+    assert audited == [{"a": 4}, {"b": 2}, {"a": 5}]
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    assert max(sizes) > 0 and sizes[-1] == 0
+    assert sorted((r.crawl_id, r.url[-1]) for r in spark.read.parquet(f"{tmp_path}/out/audited").collect()) == [("a", c) for c in "12345"] + [("b", "1"), ("b", "2")]
+
+
 def test_anchors_fold_in_all_alphabets(evaluate):
     found = evaluate(T.fold_anchor(F.col("a")), [("t\u0131kl\u1ea1yin",), ("\u0386\u03bb\u03c6\u03b1",), ("\u0419\u043e\u0433",)], "a string")
     assert found == ["tiklayin", "\u03b1\u03bb\u03c6\u03b1", "\u0438\u043e\u0433"]
