@@ -170,12 +170,11 @@ def document_headlines(spark, sf):
 def _keyword_sql(source: str, key: str, text: str) -> str:
     return f"""SELECT {key}, array_to_string(list(word ORDER BY rn), '|') AS keywords FROM (
       SELECT {key}, word, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, word) AS rn
-      FROM (SELECT {key}, unnest({_words(f'lower(substr({text}, 1, 2000))')}) AS word FROM {source}) w GROUP BY {key}, word) x WHERE rn <= 4 GROUP BY {key}"""
+      FROM (SELECT {key}, unnest({_words(f'lower({text})')}) AS word FROM {source}) w GROUP BY {key}, word) x WHERE rn <= 4 GROUP BY {key}"""
 
 
 @query("keywords", f"SELECT d.doc_id, coalesce(k.keywords, '') AS keywords FROM documents d LEFT JOIN ({_keyword_sql('documents', 'doc_id', 'text')}) k ON k.doc_id = d.doc_id")
 def keywords(spark, sf):
-    """Keywords look at the first 2000 characters of a page by definition."""
     return _documents(spark, sf).select("doc_id", F.array_join(headlines.page_keywords(), "|").alias("keywords"))
 
 
@@ -253,7 +252,7 @@ _TAG = f"regexp_replace(translate({_tr_lower('word')}, 'çğıöşüâ', 'cgiosu
     f"""WITH base AS (SELECT doc_id, lang, text, coalesce({_clip('head', 400, 399)}, 'https://docs.example.com/' || lang || '/' || doc_id) AS heading,
       CASE doc_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 5 END AS lim FROM (SELECT doc_id, lang, text, {_DOC_HEAD} AS head FROM documents) d),
     hw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {_words('heading')} AS w FROM base) x),
-    tw AS (SELECT doc_id, arg_min(word, pos) AS word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {_words('substr(text, 1, 1500)')} AS w FROM base) x) y GROUP BY doc_id, lower(word)),
+    tw AS (SELECT doc_id, arg_min(word, pos) AS word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {_words('text')} AS w FROM base) x) y GROUP BY doc_id, lower(word)),
     every AS (
       SELECT doc_id, 0 AS tier, 0 AS o1, '' AS o2, '#Marka' AS tag FROM base WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 0, 1, '', '#iyifikir' FROM base WHERE doc_id % 2 = 0
       UNION ALL SELECT doc_id, 1, pos, '', '#' || {_TAG} FROM hw WHERE length({_TAG}) >= 4
@@ -579,6 +578,16 @@ def streaming_crawl_end(spark, sf):
     )
 
 
+def _counted(spark, sf, made, running):
+    """What a second stream counts over the rows that a first one writes."""
+    root, arriving = _arrived(spark, sf)
+    streams.persist_batches(arriving, f"{root}/rows", f"{root}/checkpoint", made=made).awaitTermination()
+    schema = spark.read.parquet(f"{root}/rows").schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/rows")
+    streams.persist_batches(running(rows), f"{root}/counts", f"{root}/checkpoint-counts", mode="update").awaitTermination()
+    return spark.read.parquet(f"{root}/counts")
+
+
 @query("streaming_progress", sql("SELECT crawl_id, count(*) AS pages_crawled FROM facts GROUP BY 1"))
 def streaming_progress(spark, sf):
     """The last of the running page counts of each crawl."""

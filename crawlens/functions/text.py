@@ -143,12 +143,6 @@ def body_key(x: Column) -> Column:
     return invariant_lower(collapse_ws(x))
 
 
-def keyword_tokens(x: Column) -> Column:
-    """Lower-case words of at least four letters that are no stop words."""
-    words = F.transform(F.split(F.coalesce(x, F.lit("")), WORD_BREAKS), invariant_lower)
-    return F.filter(words, lambda w: (F.length(w) >= MIN_KEYWORD_LENGTH) & w.rlike(r"^\p{L}+$") & ~w.isin(STOP_WORDS))
-
-
 def hashtag_words(x: Column) -> Column:
     """Words that may become hashtags, in their own spelling."""
     return F.filter(
@@ -170,9 +164,9 @@ def sentences(x: Column) -> Column:
 
 
 def first_sentence(x: Column, min_length: int) -> Column:
-    """First trimmed sentence of at least ``min_length`` characters."""
-    trimmed = F.transform(sentences(x), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    return F.get(F.filter(trimmed, lambda s: F.length(s) >= min_length), F.lit(0))
+    """First trimmed sentence of at least ``min_length`` characters (two or more); reads no further than that."""
+    first = F.regexp_extract(x, rf"(?U)(?:^|[.!?\n])\s*([^\s.!?][^.!?\n]{{{min_length - 2},}}[^\s.!?])", 1)
+    return F.when(first != "", first)
 
 
 def enum_key(x: Column) -> Column:
@@ -201,33 +195,3 @@ def distinct_ci(values: Column) -> Column:
     firsts = let(keyed, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"])))
     in_order = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"))))
     return F.transform(in_order, lambda x: x["v"])
-
-
-def by_frequency(words: Column) -> Column:
-    """Distinct words, most frequent first, then by spelling; case is ignored and the first spelling stays.
-
-    Equal words are neighbours after sorting, so a group's size is the distance
-    to the next group: no explode and no shuffle for a bounded list.
-    """
-    ordered = F.array_sort(
-        F.transform(words, lambda w, i: F.struct(F.lower(w).alias("key"), i.alias("i"), w.alias("w")))
-    )
-
-    def count(s: Column) -> Column:
-        starts = F.filter(
-            F.transform(s, lambda x, j: F.struct(j.alias("j"), x["key"].alias("key"), x["w"].alias("w"))),
-            lambda x: (x["j"] == 0) | (F.get(s, x["j"] - 1)["key"] != x["key"]),
-        )
-        return let(
-            starts,
-            lambda g: F.array_sort(
-                F.transform(
-                    g,
-                    lambda x, p: F.struct(
-                        (x["j"] - F.coalesce(F.get(g, p + 1)["j"], F.size(s))).alias("minus_n"), x["w"].alias("w")
-                    ),
-                )
-            ),
-        )
-
-    return F.transform(let(ordered, count), lambda x: x["w"])

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from crawlens.functions import text as T
 from crawlens.functions import url as U
+from crawlens.functions import words
 from crawlens.operators.selection import og_value
 
-MAX_SUBJECT, KEYWORDS, SCANNED_CHARS = 180, 4, 2000
+MAX_SUBJECT, KEYWORDS = 180, 4
 MAX_HEADLINE, MAX_BRAND_LINE, MIN_SUBLINE, MAX_SUBLINE = 60, 40, 20, 140
 
 # Headings that only name a place in the navigation.
@@ -58,23 +59,17 @@ def heading() -> Column:
 
 
 def context() -> Column:
-    first = F.get(F.filter(T.sentences(F.col("main_text")), lambda s: F.length(U.trim_ws(s)) > 20), F.lit(0))
     og = U.trim_ws(og_value("og:description"))
     return F.coalesce(
         F.when(F.length("meta_description") > 0, U.trim_ws(F.col("meta_description"))),
         F.when(og != "", og),
-        U.trim_ws(first),
+        T.first_sentence(F.col("main_text"), 21),
     )
 
 
-def page_keywords() -> Column:
-    """The four most frequent words of the first 2000 characters of ``main_text``.
-
-    The scanned stretch is part of the definition and bounds the word list, so
-    words are counted inside the row.
-    """
-    words = T.keyword_tokens(F.substring("main_text", 1, SCANNED_CHARS))
-    return F.slice(T.by_frequency(words), 1, KEYWORDS)
+def page_keywords(most: int = KEYWORDS) -> Column:
+    """The most frequent words of the whole ``main_text``."""
+    return words.keywords(F.col("main_text"), most)
 
 
 def image_briefs(pages: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from crawlens import catalogue
 from crawlens.functions import text as T
 from crawlens.functions import url as U
+from crawlens.functions import words
 from crawlens.operators import brands
 from crawlens.operators.headlines import meaningful_headline
 from crawlens.scale import cut
 
-DEFAULT_MAX_CHARS, MAX_VALUE, MAX_TAGS, TAG_TEXT_CHARS = 1000, 400, 8, 1500
+DEFAULT_MAX_CHARS, MAX_VALUE, MAX_TAGS, FIRST_WORDS = 1000, 400, 8, 32
 SHORT_HEADING, HOOKS, SENTENCES_PER_VALUE, MIN_SENTENCE = 45, 3, 2, 30
 MAX_ATTEMPTS = 36
 
@@ -65,9 +66,9 @@ def _pick(rows: list[tuple], keys: list[Column], result) -> Column:
 
 
 def page_parts(pages: DataFrame) -> DataFrame:
-    """Adds what all posts of a page share: heading, meta text, value sentences, tag words.
+    """Adds what all posts of a page share: heading, meta text, value sentences, tag words by frequency.
 
-    The whole stored text is split once per page.
+    The whole stored text is split once for its sentences and once for its words.
     """
     meta = F.when(F.length("meta_description") > 0, T.clip_post(T.collapse_ws(F.col("meta_description")), MAX_VALUE))
     long_sentences = F.filter(
@@ -77,7 +78,7 @@ def page_parts(pages: DataFrame) -> DataFrame:
     return pages.withColumns(
         {
             "p_heading": heading, "p_meta": meta, "p_sentences": T.distinct_ci(long_sentences),
-            "p_tag_text": F.substring(F.coalesce("main_text", F.lit("")), 1, TAG_TEXT_CHARS),
+            "p_tag_words": words.by_frequency(F.col("main_text")),
         }
     )
 
@@ -167,23 +168,28 @@ def _split_template(text: str) -> list[str]:
 
 
 def with_hashtags(rows: DataFrame) -> DataFrame:
-    """Adds ``hashtags``: brand defaults, heading words, then text words by frequency.
+    """Adds ``hashtags``: brand defaults, heading words, then the words of the whole text by frequency.
 
-    At most min(platform limit, 8); banned and repeated tags are left out. Words
-    come from the heading and 1500 characters of text, so everything stays in
-    the row.
+    At most min(platform limit, 8); banned and repeated tags are left out. Most posts find theirs among the first text
+    words; the others look at all of them.
     """
-    limit = F.least(F.coalesce("max_hashtags", F.lit(MAX_TAGS)), F.lit(MAX_TAGS))
+    limit = F.greatest(F.least(F.coalesce("max_hashtags", F.lit(MAX_TAGS)), F.lit(MAX_TAGS)), F.lit(0))
     default = F.transform(
         F.coalesce("default_hashtags", F.array().cast("array<string>")),
         lambda t: F.concat(F.lit("#"), F.replace(F.regexp_replace(U.trim_ws(t), "^#+", ""), F.lit(" "), F.lit(""))),
     )
-    words = F.concat(T.hashtag_words(F.col("p_heading")), T.by_frequency(T.hashtag_words(F.col("p_tag_text"))))
-    usable = F.filter(
-        F.concat(default, F.transform(words, T.hashtag)),
-        lambda t: t.isNotNull() & (F.length(t) > 1) & ~brands.is_banned_tag(t, F.col("banned_phrases")),
-    )
-    return rows.withColumn("hashtags", F.slice(T.distinct_ci(usable), F.lit(1), F.greatest(limit, F.lit(0))))
+
+    def tags(text_words: Column) -> Column:
+        found = F.concat(T.hashtag_words(F.col("p_heading")), text_words)
+        usable = F.filter(
+            F.concat(default, F.transform(found, T.hashtag)),
+            lambda t: t.isNotNull() & (F.length(t) > 1) & ~brands.is_banned_tag(t, F.col("banned_phrases")),
+        )
+        return F.slice(T.distinct_ci(usable), F.lit(1), limit)
+
+    early = rows.withColumn("hashtags", tags(F.slice("p_tag_words", 1, FIRST_WORDS)))
+    enough = (F.size("hashtags") >= limit) | (F.size("p_tag_words") <= FIRST_WORDS)
+    return early.withColumn("hashtags", F.when(enough, F.col("hashtags")).otherwise(tags(F.col("p_tag_words"))))
 
 
 def post_jobs(selected: DataFrame, platform_codes: list[str]) -> DataFrame:

@@ -1,6 +1,11 @@
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from crawlens.functions import text as T
+from crawlens.functions import words
 from crawlens.functions import url as U
 
 BASE = "https://example.com/blog/start"
@@ -81,12 +86,28 @@ def test_text_functions(evaluate):
     assert one(T.clip_caption(x, 10), "abc, defgh ijk") == "abc, defgh…"
     assert one(T.clip_post(x, 10), "abcdefghijklm") == "abcdefghi…"
     assert one(T.clip_post(x, 10), "short") == "short"
-    assert one(T.keyword_tokens(x), "Veri için ab1c VERİLER don't page kitap/okul") == ["veri", "verİler", "kitap", "okul"]
+    assert one(words.keywords(x, 9), "Veri için ab1c VERİLER don't page kitap/okul") == ["kitap", "okul", "veri", "verİler"]
+    assert one(words.by_frequency(x), "Okul kitap veri OKUL, the Kitap okul") == ["Okul", "kitap", "veri"] and one(words.by_frequency(x), None) == []
     assert one(T.hashtag(x), "Çağrı") == "#cagri"
     assert one(T.hashtag(x), "ABC") is None
     assert one(T.first_sentence(x, 5), "ab. cdefgh! ijklmno") == "cdefgh"
+    assert one(T.first_sentence(x, 5), "abcd    . \n  de fg \t\nrest of it") == "de fg" and one(T.first_sentence(x, 5), "abcd   ") is None and one(T.first_sentence(x, 5), None) is None
+    assert one(T.first_sentence(x, 5), "    \u00a0five5 \u00a0? tail") == "five5" and len(one(T.first_sentence(x, 25), "x " * 300_000)) == 599_999
     assert one(T.parse_enum(x, ["satis_odakli", "samimi"]), "Satis-Odakli") == "satis_odakli"
     assert one(T.parse_enum(x, ["samimi"]), " ") is None
     assert one(T.snake_case(x), "StructuredData") == "structured_data"
     assert one(T.snake_case(x), "I18n") == "i18n"
     assert evaluate(T.distinct_ci(F.col("x")), [(["b", "A", "a", "B", "c"],)], "x array<string>") == [["b", "A", "c"]]
+
+
+def test_words_of_long_texts_are_counted_by_slices():
+    rng = random.Random(3)
+    text = "".join(rng.choice(["Kitap", "okul", "VERİ", "veri", "ab", "x1y2z", "ünlü", " ", ". ", "-", "\u000b", "'"]) for _ in range(5000))
+    whole = words.ranked(text)
+    plain = Counter(w for w in re.split(T.WORD_BREAKS, text) if len(w) >= 4)
+    assert words.counted(text) == plain and all(words.ranked(text, size=n) == whole and words.counted(text, n) == plain for n in (1, 7, 100))
+    groups = {}
+    for w in re.split(T.WORD_BREAKS, text):
+        if len(w) >= 4 and w.isalpha() and w.lower() not in T.STOP_WORDS:
+            groups.setdefault(w.lower(), []).append(w)
+    assert whole == [w for _, w in sorted((-len(g), g[0]) for g in groups.values())] and words.ranked(text, most=2) == whole[:2]
