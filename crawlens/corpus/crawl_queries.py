@@ -108,7 +108,8 @@ def html_features(spark, sf):
     sql("""SELECT crawl_id, url, title, length(main_text) AS text_length, sha256(main_text) AS text_hash FROM facts WHERE ok"""),
 )
 def encoded_documents(spark, sf):
-    """Raw bytes in four encodings (header, meta tag, byte-order mark, plain UTF-8) must decode to the same text.
+    """Raw bytes in four encodings (header, meta tag, byte-order mark, plain UTF-8) must decode to the same text,
+    and so must UTF-8 under a name that is no character set of pages.
 
     The legacy encoding is only used where it can hold every character.
     """
@@ -120,7 +121,9 @@ def encoded_documents(spark, sf):
     has_meta = F.col("html").contains('<meta charset="utf-8">')
     legacy = (F.col("how") == "header") | ((F.col("how") == "meta") & has_meta)
     body = F.when(legacy, F.encode(html, "iso-8859-1")).when(F.col("how") == "bom", F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(html, "utf-8"))).otherwise(F.encode(html, "utf-8"))
-    ctype = F.when(F.col("how") == "header", F.lit("text/html; Charset=ISO-8859-1")).when((F.col("how") == "meta") & ~has_meta, F.lit("text/html; charset=utf-8")).otherwise(F.lit("text/html"))
+    names = F.array(*[F.lit(n) for n in ("idna", "undefined", "no-such-set", "utf-8\0", "punycode", "unicode_escape", "hex", "UTF-8")])
+    odd = F.concat(F.lit("text/html; charset="), F.element_at(names, (1 + F.col("fetch_seq") % 8).cast("int")))
+    ctype = F.when(F.col("how") == "header", F.lit("text/html; Charset=ISO-8859-1")).when((F.col("how") == "meta") & ~has_meta, F.lit("text/html; charset=utf-8")).when(F.col("how") == "utf8", odd).otherwise(F.lit("text/html"))
     raw = FS.extract(f.select("crawl_id", "url", "status_code", ctype.alias("content_type"), body.alias("html")))
     return raw.select("crawl_id", "url", "title", F.length("main_text").alias("text_length"), F.sha2("main_text", 256).alias("text_hash"))
 

@@ -148,10 +148,9 @@ def pages_without_issues(spark, sf):
 
 @query(
     "page_detail",
-    sql("""SELECT g.crawl_id, g.url, g.depth, g.inlink_count, length(substr(g.main_text, 1, 20000)) AS text_length, coalesce(i.n, 0) AS issues, coalesce(i.codes, '') AS codes
+    sql("""SELECT g.crawl_id, g.url, g.depth, g.inlink_count, length(g.t) AS text_length, coalesce(i.n, 0) AS issues, coalesce(i.codes, '') AS codes
     FROM (SELECT *, nullif(main_text, '') AS t FROM graph) g LEFT JOIN (
-      SELECT crawl_id, url, count(*) AS n, string_agg(rule_code, '|' ORDER BY severity_rank DESC, rule_code) AS codes FROM issues GROUP BY 1, 2) i ON i.crawl_id = g.crawl_id AND i.url = g.url"""
-        .replace("length(substr(g.main_text, 1, 20000))", "length(substr(g.t, 1, 20000))")),
+      SELECT crawl_id, url, count(*) AS n, string_agg(rule_code, '|' ORDER BY severity_rank DESC, rule_code) AS codes FROM issues GROUP BY 1, 2) i ON i.crawl_id = g.crawl_id AND i.url = g.url"""),
 )
 def page_detail(spark, sf):
     rows = issues.page_detail(_pages(spark, sf), _issues(spark, sf))

@@ -85,7 +85,7 @@ def page_usage(spark, sf):
     return selection.page_usage(_history(spark, sf))
 
 
-def _selected(spark, sf, n=12):
+def _selected(spark, sf, n=None):
     return selection.select_pages(_pages(spark, sf), n, selection.page_usage(_history(spark, sf)))
 
 
@@ -93,13 +93,13 @@ _SELECTED = """
 SELECT * FROM (SELECT k.*, coalesce(u.used, 0) AS used, row_number() OVER (PARTITION BY crawl_id ORDER BY coalesce(u.used, 0), CASE WHEN kind = 'article' THEN 0 ELSE 1 END,
   CASE WHEN length(main_text) >= 200 THEN 0 ELSE 1 END, CASE WHEN kind = 'listing' THEN 1 ELSE 0 END, CASE WHEN kind = 'article' THEN 0 ELSE depth END,
   CASE WHEN kind = 'article' THEN word_count ELSE inlink_count END DESC, word_count DESC, depth, url) AS place
-FROM kinds k LEFT JOIN usage_ u ON u.site_id = k.site_id AND u.url_key = lower(k.url)) x WHERE place <= 12
+FROM kinds k LEFT JOIN usage_ u ON u.site_id = k.site_id AND u.url_key = lower(k.url)) x
 """
 
 
-@query("select_pages", sql("SELECT crawl_id, url, kind, used, place FROM selected", usable=_USABLE, kinds=_KINDS, usage_=_USAGE, selected=_SELECTED))
+@query("select_pages", sql("SELECT crawl_id, url, kind, used, place FROM selected WHERE place <= 12", usable=_USABLE, kinds=_KINDS, usage_=_USAGE, selected=_SELECTED))
 def select_pages(spark, sf):
-    return _selected(spark, sf).select("crawl_id", "url", "kind", "used", "place")
+    return _selected(spark, sf, 12).select("crawl_id", "url", "kind", "used", "place")
 
 
 _CODES = ["instagram", "x"]
@@ -296,7 +296,7 @@ _POST_COLUMNS = ["crawl_id", "url", "platform_code", "post_index", "angle", "bod
 
 @query("social_posts")
 def social_posts(spark, sf):
-    """Template posts of the selected pages; checked against a plain implementation in the tests."""
+    """Template posts of all usable pages; checked against a plain implementation in the tests."""
     return posts.template_posts(_branded_jobs(spark, sf)).select(*_POST_COLUMNS)
 
 
@@ -367,7 +367,7 @@ def brand_list(spark, sf):
 
 
 _RAW_PROFILES = """
-SELECT doc_id, source, n_chars, lang, CASE WHEN doc_id % 7 = 3 THEN '  ' ELSE ' ' || source || ' ' END AS name, substr(text, 1, 1100) AS audience FROM documents
+SELECT doc_id, source, n_chars, lang, CASE WHEN doc_id % 7 = 3 THEN '  ' ELSE ' ' || source || ' ' END AS name, text AS audience FROM documents
 """
 
 
@@ -389,7 +389,7 @@ def brand_validate(spark, sf):
     handle = F.when(lang == "de", F.create_map(F.lit("myspace"), F.lit("acct"))).when(lang == "es", F.create_map(F.lit(" X "), F.lit("a b"))).when(
         lang == "fr", F.create_map(F.lit("linkedin"), F.lit("https://www.linkedin.com/in/page_1/?x=1"))).otherwise(F.create_map(F.lit("Instagram"), F.lit(" @me.x ")))
     profiles = docs.select(
-        "doc_id", F.when(n % 7 == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), "source", F.lit(" "))).alias("name"), F.substring("text", 1, 1100).alias("target_audience"),
+        "doc_id", F.when(n % 7 == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), "source", F.lit(" "))).alias("name"), F.col("text").alias("target_audience"),
         F.lit(None).cast("string").alias("extra_context"), strings(" Bir  ifade", "bir IFADE", " ").alias("banned_phrases"),
         strings(F.concat(F.lit("# "), "source"), "İyi_fikir!", F.concat(F.lit("#"), F.upper("source"))).alias("default_hashtags"),
         F.when(n % 3 == 2, F.lit(None)).when(n % 3 == 1, F.lit("red")).otherwise(F.lit(" #12ab9F")).alias("primary_color"), F.lit(None).cast("string").alias("secondary_color"),
@@ -478,7 +478,7 @@ def batch_jobs(spark, sf):
       UNION ALL SELECT response_id, 1, 'duz metin', NULL, NULL, '', NULL FROM responses WHERE (conv_id + turn) % 7 = 2
       UNION ALL SELECT response_id, 2, '#a #b', NULL, NULL, '#a #b', NULL FROM responses WHERE (conv_id + turn) % 7 = 2
       UNION ALL SELECT response_id, 0, words, NULL, NULL, '', 'sahne' FROM responses WHERE (conv_id + turn) % 7 = 3
-      UNION ALL SELECT response_id, u - 1, CAST(u AS VARCHAR), NULL, NULL, '', NULL FROM responses, (SELECT unnest(range(1, 11)) AS u) n WHERE (conv_id + turn) % 7 = 5) x"""),
+      UNION ALL SELECT response_id, u - 1, CAST(u AS VARCHAR), NULL, NULL, '', NULL FROM responses, (SELECT unnest(range(1, 12)) AS u) n WHERE (conv_id + turn) % 7 = 5) x"""),
 )
 def model_answers(spark, sf):
     rows = content.answer_variants(inputs.load(spark, sf, "responses"))
@@ -501,7 +501,7 @@ def export_rows(spark, sf):
 @query(
     "text_functions",
     f"""SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS body_key,
-    trim(regexp_replace(strip_accents(replace(lower(trim(substr(text, 1, 60), chr(10) || ' ')), 'ı', 'i')), '[^\\pL\\p{{Nd}} ]', '', 'g')) AS folded,
+    sha256(trim(regexp_replace(strip_accents(replace(lower(trim(text, chr(10) || ' ')), 'ı', 'i')), '[^\\pL\\p{{Nd}} ]', '', 'g'))) AS folded,
     translate({_tr_lower("source")}, 'çğıöşüâîû', 'cgiosuaiu') AS headline_key, {_clip("trim(regexp_replace(text, '\\s+', ' ', 'g'))", 140, 139)} AS clipped_post,
     {_clip("trim(regexp_replace(text, '\\s+', ' ', 'g'))", 60, 60)} AS clipped_caption, {_sentence('text', 25)} AS sentence,
     CASE lang WHEN 'en' THEN 'satis_odakli' WHEN 'de' THEN 'samimi' WHEN 'fr' THEN NULL ELSE 'teknik' END AS tone, 'structured_data' AS category FROM documents""",
@@ -510,7 +510,7 @@ def text_functions(spark, sf):
     x, squeezed = F.col("text"), T.collapse_ws(F.col("text"))
     raw = F.when(F.col("lang") == "en", F.lit("Satis-Odakli")).when(F.col("lang") == "de", F.lit("SAMIMI")).when(F.col("lang") == "fr", F.lit(" ")).otherwise(F.lit("teknik"))
     return spark.read.parquet(f"{sf}/documents.parquet").select(
-        "doc_id", F.sha2(squeezed, 256).alias("collapsed"), F.sha2(T.body_key(x), 256).alias("body_key"), T.fold_anchor(F.substring(x, 1, 60)).alias("folded"),
+        "doc_id", F.sha2(squeezed, 256).alias("collapsed"), F.sha2(T.body_key(x), 256).alias("body_key"), F.sha2(T.fold_anchor(x), 256).alias("folded"),
         T.fold_headline(F.col("source")).alias("headline_key"), T.clip_post(squeezed, 140).alias("clipped_post"), T.clip_caption(squeezed, 60).alias("clipped_caption"),
         T.first_sentence(x, 25).alias("sentence"), T.parse_enum(raw, ["kurumsal", "samimi", "teknik", "satis_odakli"]).alias("tone"), T.snake_case(F.lit("StructuredData")).alias("category"),
     )

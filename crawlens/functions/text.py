@@ -73,7 +73,7 @@ def _accent_table() -> tuple[str, str]:
     import unicodedata
 
     source, target = [], []
-    for code in (*range(0xC0, 0x600), *range(0x1E00, 0x2000)):
+    for code in range(0xC0, 0x20000):
         char = chr(code)
         parts = unicodedata.normalize("NFD", char)
         base = parts[0]

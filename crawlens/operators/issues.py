@@ -13,7 +13,6 @@ from crawlens.scale import first_n
 
 DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 50, 200
 TOP_ISSUES = 100
-DETAIL_TEXT_CHARS = 20_000
 
 
 def issue_rows(page_findings: DataFrame, crawl_findings: DataFrame, crawls: DataFrame) -> DataFrame:
@@ -149,8 +148,8 @@ def group_order() -> list[Column]:
     return [F.col("severity_rank").desc(), (F.col("open_count") + F.col("ignored_count")).desc(), F.col("rule_code")]
 
 
-def page_detail(pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """Page columns, clipped text and the page's issues, worst first (bounded by the rule count)."""
+def page_detail(pages: DataFrame, issues: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """Page columns (the text's first ``text_chars`` characters, if limited) and the page's issues, worst first (bounded by the rule count)."""
     own = issues.groupBy("crawl_id", "page_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("severity_rank")).alias("o"), "rule_code", "severity", "status", "evidence"))).alias("i")
     )
@@ -158,7 +157,7 @@ def page_detail(pages: DataFrame, issues: DataFrame) -> DataFrame:
         pages.join(own, ["crawl_id", "page_id"], "left")
         .withColumn("issues", F.coalesce(F.transform("i", lambda x: x.dropFields("o")),
                                          F.array().cast("array<struct<rule_code:string,severity:string,status:string,evidence:struct<found:string,sample_urls:array<string>>>>")))
-        .withColumn("main_text", F.substring("main_text", 1, DETAIL_TEXT_CHARS))
+        .withColumn("main_text", F.col("main_text") if text_chars is None else F.substring("main_text", 1, text_chars))
         .drop("i", "all_image_urls")
     )
 

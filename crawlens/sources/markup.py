@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as html_text
 import json
+import codecs
 import re
 
 _NAME_END = re.compile(r"[\s/>]|\Z")
@@ -342,6 +343,19 @@ def scan(source: str) -> dict:
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([^\"';\s/>]+)", re.I)
 
 
+# Families of the character sets that pages are written in, as codecs name them.
+_FAMILIES = ("ascii", "utf", "iso8859", "iso2022_jp", "cp125", "cp866", "cp874", "cp949", "cp932", "cp950", "koi8", "mac", "gb", "big5", "euc", "shift_jis", "tis_620", "johab")
+
+
+def web_charset(name: str) -> str:
+    """The codec of a declared character set; UTF-8 where it is none that pages are written in."""
+    try:
+        own = codecs.lookup(name.strip()).name.replace("-", "_")
+    except (LookupError, ValueError):
+        return "utf-8"
+    return own if own.startswith(_FAMILIES) and own != "utf_7" else "utf-8"
+
+
 def decode(body: bytes, content_type: str | None) -> str:
     """Text of a raw body: header charset, else BOM, else the first meta tag with one, else UTF-8."""
     declared = _CHARSET.search(content_type or "")
@@ -356,7 +370,4 @@ def decode(body: bytes, content_type: str | None) -> str:
         metas = (re.search(rb"charset\s*=\s*[\"']?\s*([^\"';\s/>]+)", m.group(1), re.I) for m in re.finditer(rb"<meta\b([^>]*)>", head, re.I))
         meta = next(filter(None, metas), None)
         name = meta.group(1).decode("ascii", "replace") if meta else "utf-8"
-    try:
-        return body.decode(name, errors="replace").lstrip("\ufeff")
-    except LookupError:
-        return body.decode("utf-8", errors="replace").lstrip("\ufeff")
+    return body.decode(web_charset(name), errors="replace").lstrip("\ufeff")

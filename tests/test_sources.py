@@ -249,3 +249,21 @@ def test_ends_of_crawls_clear_their_state(spark, tmp_path):
 def test_anchors_fold_in_all_alphabets(evaluate):
     found = evaluate(T.fold_anchor(F.col("a")), [("t\u0131kl\u1ea1yin",), ("\u0386\u03bb\u03c6\u03b1",), ("\u0419\u043e\u0433",)], "a string")
     assert found == ["tiklayin", "\u03b1\u03bb\u03c6\u03b1", "\u0438\u043e\u0433"]
+
+
+def test_names_of_character_sets(spark):
+    body = "<title>Ünlü ş</title>"
+    for name in ("idna", "undefined", "punycode", "no-such", "utf-8\0", "unicode_escape", "hex", "rot13", "utf-7", "", "x" * 10_000, "mbcs", "utf8"):
+        assert markup.decode(body.encode(), f"text/html; charset={name}") == body, name
+        assert markup.decode(f'<meta charset="{name}">{body}'.encode(), "text/html").endswith(body), name
+    for name in ("ISO-8859-9", "windows-1254", "utf-16", "latin5", "macturkish"):
+        assert markup.decode(body.encode(name), f"text/html; charset={name}") == body, name
+    assert markup.decode("日本".encode("shift_jis"), "text/html; charset=Shift_JIS") == markup.decode("日本".encode("euc_jp"), "text/html; charset=EUC-JP") == "日本"
+
+
+def test_section_names(evaluate):
+    from crawlens.operators.selection import is_section
+
+    yes = ["blog", "haber-detay", "haberdetay", "blog-yazilari", "blogyazisi", "news_details", "makale-icerigi", "blogposts", "haberler-detayi"]
+    no = ["", "blogger", "haber-detay-1", "haberci", "detay", "blog-postanesi", "bloghakkinda", "news--detail", None]
+    assert evaluate(is_section(F.col("x")), [(s,) for s in yes + no], "x string") == [True] * len(yes) + [False] * len(no)
