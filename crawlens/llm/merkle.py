@@ -15,11 +15,11 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlens.llm.common import query, table
-from crawlens.scale import cut, spread_lookup
+from crawlens.scale import cut, ranked, spread_lookup
 
 LEVELS = 8
 BLOCK = 1 << LEVELS
@@ -38,19 +38,6 @@ def leaf_hash(values: Sequence[Column]) -> Column:
     return F.unhex(F.sha2(F.concat(*map(framed, values)), 256))
 
 
-def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """``df`` with ``rank``: the place of a row in the whole order, from 0; written.
-
-    Ranges of the order go to tasks, each numbers its own rows; what comes before a range is one number for each task.
-    """
-    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sizes.select("_part", before.alias("_before"))  # a row for each task
-    return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
-
-
 def climb_block(hashes: list[bytes], levels: int) -> tuple[bytes, list[str], list[bytes]]:
     """The top of a block ``levels`` above its nodes; for each node the sides (l, r or - for none) and the siblings on the way.
 
