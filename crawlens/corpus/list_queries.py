@@ -56,6 +56,17 @@ def issue_list_page(spark, sf):
     return rows.select("crawl_id", "url", "rule_code", "found", F.col("rn").alias("place"))
 
 
+@query(
+    "issue_last_page",
+    sql(f"SELECT crawl_id, url, rule_code, found, place FROM (SELECT crawl_id, url, rule_code, found, row_number() OVER (ORDER BY {_ORDER}, crawl_id) AS place, count(*) OVER () AS n FROM issues) x WHERE place > (n - 1) // 40 * 40"),
+)
+def issue_last_page(spark, sf):
+    """The last page of forty of the list over all crawls."""
+    rows = _issues(spark, sf)
+    order = [-F.col("severity_rank"), F.col("rule_code"), F.col("url"), F.col("found"), F.col("crawl_id")]
+    return issues.page_at(rows, order, ["issue_id"], -(-rows.count() // 40), 40).select("crawl_id", "url", "rule_code", "found", "place")
+
+
 @query(
     "issue_top_page",
     sql(f"SELECT crawl_id, url, rule_code, found FROM issues ORDER BY {_ORDER}, crawl_id LIMIT 50 OFFSET 50"),

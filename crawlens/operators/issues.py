@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from crawlens import catalogue
 from crawlens.functions import text as T
-from crawlens.scale import first_n
+from crawlens.scale import first_n, shared_dir
 
 DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 50, 200
 TOP_ISSUES = 100
@@ -80,9 +82,10 @@ def issue_order(*last: str) -> list[Column]:
     return [F.col("severity_rank").desc(), F.col("rule_code"), *[F.col(c) for c in (last or ("issue_id",))]]
 
 
-def page_bounds(page: int | None, size: int | None) -> tuple[int, int]:
-    """(offset, size): pages start at 1; no size, zero or less is 50, and 200 is the most."""
-    size = min(size if size and size > 0 else DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE)
+def page_bounds(page: int | None, size: int | None, most: int | None = MAX_PAGE_SIZE) -> tuple[int, int]:
+    """(offset, size): pages start at 1; no size, zero or less is 50, and ``most`` is the largest (None: any)."""
+    size = size if size and size > 0 else DEFAULT_PAGE_SIZE
+    size = size if most is None else min(size, most)
     return (max(page or 1, 1) - 1) * size, size
 
 
@@ -92,6 +95,45 @@ def paged(df: DataFrame, order: list[Column], page: int | None = None, size: int
     return df.orderBy(*order).offset(offset).limit(size)
 
 
+def page_at(df: DataFrame, order: list[Column], key: list[str], page: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """Any page of a list, however deep, with ``place`` (from 1).
+
+    ``order``: values that are sorted upwards; ``key`` names the columns that identify a row. The order's values and the keys are written in ranges, with a count each; only the ranges that hold the page are
+    read and sorted. Pages near the start are cheaper by ``paged``, which writes nothing.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    narrow = df.select(*key, *[o.alias(n) for o, n in zip(order, names)])
+    # Equal rows of the order go by their key, so that places are the same ones each time.
+    by = [*names, *key]
+    spark, low = df.sparkSession, (max(page, 1) - 1) * max(size, 1)
+    path = f"{shared_dir(spark)}/crawlens/ranges-{uuid.uuid4().hex}"
+    narrow.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
+    ranges = spark.read.schema(StructType([*narrow.schema, StructField("_range", IntegerType())])).parquet(path)
+    wanted, before, start = [], 0, 0
+    for row in ranges.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
+        if before < low + size and before + row["count"] > low:
+            start = before if not wanted else start
+            wanted.append(row["_range"])
+        before += row["count"]
+    found = ranges.where(F.col("_range").isin(wanted)).orderBy(*by).limit(low + size - start).offset(low - start)
+    place = F.row_number().over(Window.orderBy(*by)) + low  # of one page's rows
+    return df.join(F.broadcast(found.select(*key, place.alias("place"))), key)
+
+
+def page_after(df: DataFrame, order: list[Column], last: Row | None, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """The page that follows the row ``last`` of the page before (None: the first page): a filter and a top-n.
+
+    ``order``: named columns that are sorted upwards, without nulls, and tell rows apart.
+    """
+    columns = df.columns
+    named = df.withColumns({f"_o{i}": o for i, o in enumerate(order)})
+    names = [f"_o{i}" for i in range(len(order))]
+    if last is not None:
+        at = df.sparkSession.createDataFrame([tuple(last[c] for c in columns)], df.schema).select(*[o.alias(n) for o, n in zip(order, names)]).first()
+        named = named.where(F.struct(*names) > F.struct(*[F.lit(v).cast(named.schema[n].dataType).alias(n) for n, v in zip(names, at)]))
+    return named.orderBy(*names).limit(size).select(*columns)
+
+
 def paged_per_key(df: DataFrame, keys: list[str], order: list[Column], page: int | None = None, size: int | None = None) -> DataFrame:
     """The same page of every key's list at once (``rn`` is the position in the list)."""
     offset, size = page_bounds(page, size)

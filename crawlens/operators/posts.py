@@ -218,42 +218,53 @@ def post_jobs(selected: DataFrame, platform_codes: list[str]) -> DataFrame:
     )
 
 
-def _first_fit(jobs: DataFrame, known: DataFrame, attempts: int) -> DataFrame:
-    """(job_id, b): of so many rotations the first one that passes the guard, unknown texts before known ones."""
-    tasks = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tries = jobs.repartition(tasks, "job_id").withColumn("start_index", F.col("post_index")).withColumn(
-        "attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
-    ).withColumn("post_index", F.col("start_index") + F.col("attempt"))
+def _probe(jobs: DataFrame, seen: DataFrame, low: int, high: int) -> DataFrame:
+    """(job_id, fresh, passing): the first of the rotations from ``low`` to before ``high`` that the guard passes, new ones and all.
+
+    Texts are built for their hashes only and do not leave the row.
+    """
+    tries = jobs.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high - 1)))).withColumn("post_index", F.col("post_index") + F.col("attempt"))
     built = brands.guard(template_posts(tries).withColumn("hashtags", F.array().cast("array<string>")))
     # Rejected texts are left out inside the aggregate: a filter would be pushed
     # below the projections and evaluate every text twice.
-    candidates = built.select(
-        "job_id", "site_id", "attempt", "post_index", "angle", "body", "cta", "description", "char_count", "passes"
-    ).withColumn("body_hash", F.sha2(T.body_key(F.col("body")), 256))
-    seen = known.select("site_id", F.sha2("body_key", 256).alias("body_hash"), F.lit(True).alias("_known")).distinct()
-    ranked = candidates.join(seen, ["site_id", "body_hash"], "left").withColumn("repeated", F.coalesce("_known", F.lit(False)))
-    row = F.struct("repeated", "attempt", "post_index", "angle", "body", "cta", "description", "char_count")
-    return ranked.groupBy("job_id").agg(F.min(F.when(F.col("passes"), row)).alias("b"))
-
-
-def unique_posts(jobs: DataFrame, known: DataFrame) -> DataFrame:
-    """One post per job: the first of 36 rotations that passes the guard and was not posted before.
-
-    When every passing text is known the first passing one is repeated
-    (``repeated``); jobs where the guard rejects everything are returned with a
-    null body. ``known(site_id, body_key)``. The probe key holds the text hash,
-    so a site with a huge history still spreads over all tasks. Most jobs are
-    done with their first rotation; only the others get rows for all of them.
+    hashed = built.select("job_id", "site_id", "attempt", "passes", F.sha2(T.body_key(F.col("body")), 256).alias("body_hash"))
+    met = hashed.join(seen.withColumn("_known", F.lit(True)), ["site_id", "body_hash"], "left")
+    return met.groupBy("job_id").agg(
+        F.min(F.when(F.col("passes") & F.col("_known").isNull(), F.col("attempt"))).alias("fresh"), F.min(F.when(F.col("passes"), F.col("attempt"))).alias("passing")
+    )
+
+
+def unique_posts(jobs: DataFrame, known: DataFrame, attempts: int = MAX_ATTEMPTS, rounds: list[int] | None = None) -> DataFrame:
+    """One post per job: the first of its rotations that passes the guard and was not posted before.
+
+    When every passing text of ``attempts`` rotations is known the first passing one is repeated (``repeated``); jobs
+    where the guard rejects everything are returned with a null body. ``known(site_id, body_key)``. Rotations are tried
+    in rounds, each twice as wide as the one before and only for jobs without a post so far; a round writes three
+    numbers a job. The probe key holds the text's hash, so a site with a huge history still spreads over all tasks. The
+    chosen text alone is built for the result. ``rounds``, where given, gets the number of jobs in each round.
     """
     # Page texts are split once per page, before the attempts multiply the rows.
-    jobs = cut(jobs, "post-jobs")
-    first = cut(_first_fit(jobs, known, 1), "first-posts").where("b is not null and not b.repeated")
-    rest = jobs.join(first.select("job_id"), "job_id", "left_anti")
-    best = first.unionByName(_first_fit(rest, known, MAX_ATTEMPTS))
-    return jobs.drop("post_index").join(best, "job_id", "left").select(
-        *[c for c in jobs.columns if c != "post_index"], "b.repeated", "b.attempt", "b.post_index", "b.angle", "b.body",
-        "b.cta", "b.description", "b.char_count",
-    )
+    jobs = cut(jobs.repartition(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "job_id"), "post-jobs")
+    seen = known.select("site_id", F.sha2("body_key", 256).alias("body_hash")).distinct()
+    found, low, width, open_jobs = None, 0, 1, jobs
+    while low < attempts:
+        high = min(attempts, low + width)
+        probed = cut(_probe(open_jobs, seen, low, high), "probed")
+        found = probed if found is None else found.unionByName(probed)
+        left = probed.where("fresh is null").select("job_id")
+        if rounds is not None:
+            rounds.append(probed.count())
+        low, width = high, 2 * width
+        if left.isEmpty():
+            break
+        open_jobs = jobs.join(left, "job_id", "left_semi")
+    best = found.groupBy("job_id").agg(F.min("fresh").alias("fresh"), F.min("passing").alias("passing"))
+    chosen = jobs.join(best, "job_id", "left").withColumn("attempt", F.coalesce("fresh", "passing"))
+    index = F.col("post_index") + F.coalesce("attempt", F.lit(0))
+    built = brands.guard(template_posts(chosen.withColumn("post_index", index)).withColumn("hashtags", F.array().cast("array<string>")))
+    some = F.col("attempt").isNotNull()
+    made = [F.when(some, F.col(c)).alias(c) for c in ("post_index", "angle", "body", "cta", "description", "char_count")]
+    return built.select(*[c for c in jobs.columns if c not in ("post_index", "hashtags")], F.when(some, F.col("fresh").isNull()).alias("repeated"), "attempt", *made)
 
 
 def with_brand(jobs: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from crawlens.functions import text as T
 from crawlens.operators import brands, headlines, posts, selection
 
 TEXT = "This is the first sentence of the page text. And here is a second one that is long enough! Short. A third sentence closes the page text nicely"
@@ -86,10 +87,33 @@ def test_unique_posts(spark, jobs):
     # "nedir" is banned for page d, so the hook it would start with is skipped.
     assert bodies[("d", "linkedin")].attempt == 1 and "nedir" not in bodies[("d", "linkedin")].body.lower()
     known = first.select("site_id", F.lower(F.regexp_replace("body", r"\s+", " ")).alias("body_key"))
-    again = {(r.page_id, r.platform_code): r for r in posts.unique_posts(jobs, known).collect()}
+    rounds = []
+    again = {(r.page_id, r.platform_code): r for r in posts.unique_posts(jobs, known, rounds=rounds).collect()}
+    assert rounds[0] == 8 and rounds == sorted(rounds, reverse=True)
     assert all(again[k].body != bodies[k].body and again[k].attempt > bodies[k].attempt for k in bodies)
 
 
+def test_unique_posts_against_trying_one_by_one(spark, jobs):
+    """With a history of ever more rotations, against a plain search over the texts of all of them."""
+    every = jobs.withColumn("start", F.col("post_index")).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("post_index", F.col("start") + F.col("n"))
+    texts = brands.guard(posts.template_posts(every).withColumn("hashtags", F.array().cast("array<string>")))
+    rows = texts.select("job_id", "site_id", F.col("n").alias("attempt"), "body", "passes", T.body_key(F.col("body")).alias("key")).collect()
+    by_job = {}
+    for r in sorted(rows, key=lambda r: r.attempt):
+        by_job.setdefault(r.job_id, []).append(r)
+    for used in (0, 1, 3, 8, 12):
+        known = {(r.site_id, r.key) for own in by_job.values() for r in own[:used]}
+        frame = spark.createDataFrame(sorted(known), "site_id string, body_key string")
+        got = {r.job_id: (r.attempt, r.repeated, r.body) for r in posts.unique_posts(jobs, frame, attempts=12).collect()}
+        want = {}
+        for job, own in by_job.items():
+            passing = [r for r in own if r.passes]
+            new = [r for r in passing if (r.site_id, r.key) not in known]
+            best = (new or passing or [None])[0]
+            want[job] = (best.attempt, not new, best.body) if best else (None, None, None)
+        assert got == want
+
+
 def test_hashtags(spark, jobs):
     tags = {(r.page_id, r.platform_code): r.hashtags for r in posts.with_hashtags(jobs).collect()}
     assert tags[("a", "linkedin")] == ["#Brand", "#useful", "#heading", "#sentence", "#text"]

@@ -176,7 +176,24 @@ def test_redirects_are_followed_to_their_end(spark):
     assert all(got[f"p{i}"] == "p8" for i in range(8)) and got["x"] in ("x", "y") and "z" not in got
 
 
+def test_deep_pages_read_their_ranges(spark):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 13).alias("rank"), F.concat(F.lit("u"), F.col("id") * 31 % 101).alias("url"), F.lit("x" * 50).alias("text")).repartition(6)
+    order = [-F.col("rank"), F.col("url")]
+    whole = [r.id for r in sorted(rows.collect(), key=lambda r: (-r.rank, r.url, r.id))]
+    for page, size in ((1, 40), (2, 40), (25, 40), (26, 40), (13, 77), (1, 5000)):
+        got = sorted(issues.page_at(rows, order, ["id"], page, size).collect(), key=lambda r: r.place)
+        assert [r.id for r in got] == whole[(page - 1) * size : page * size] and [r.place for r in got] == list(range((page - 1) * size + 1, (page - 1) * size + 1 + len(got)))
+    plan = issues.page_at(rows, order, ["id"], 20, 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan and ("_range#" in plan and (" IN (" in plan or " = " in plan))
+    last, seen = None, []
+    while page := issues.page_after(rows, [*order, F.col("id")], last, 170).collect():
+        last = page[-1]
+        seen += [r.id for r in page]
+    assert seen == whole and issues.page_at(rows.limit(0), order, ["id"], 3, 40).collect() == []
+
+
 def test_paging_bounds():
+    assert issues.page_bounds(2, 999, None) == (999, 999)
     assert issues.page_bounds(None, None) == (0, 50) and issues.page_bounds(3, 10) == (20, 10)
     assert issues.page_bounds(0, 0) == issues.page_bounds(1, -3) == (0, 50) and issues.page_bounds(2, 999) == (200, 200)
 
