@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crawlens import catalogue
 from crawlens.functions import text as T
 from crawlens.functions import url as U
-from crawlens.scale import first_n
+from crawlens.scale import first_n, lookup
 
 MAX_NAME, MAX_AUDIENCE, MAX_CONTEXT = 200, 1024, 2000
 MAX_PHRASES, MAX_PHRASE_CHARS, MAX_TAGS, MAX_TAG_CHARS, MAX_HANDLE = 50, 100, 10, 50, 100
@@ -154,11 +154,8 @@ def resolve_brands(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     defaults = first_n(profiles.where("is_default"), ["tenant_id", "site_id"], [F.col("created_at").desc(), F.col("brand_id")], 1)
     of_site = defaults.where(F.col("site_id").isNotNull()).select("tenant_id", "site_id", F.col("brand_id").alias("_site_default"))
     of_tenant = defaults.where(F.col("site_id").isNull()).select("tenant_id", F.col("brand_id").alias("_tenant_default"))
-    joined = (
-        jobs.join(explicit, "requested_brand", "left")
-        .join(of_site, ["tenant_id", "site_id"], "left")
-        .join(of_tenant, "tenant_id", "left")
-    )
+    by_job = F.xxhash64("job_id") if "job_id" in jobs.columns else F.xxhash64(*jobs.columns[:4])
+    joined = lookup(lookup(jobs.join(explicit, "requested_brand", "left"), of_site, ["tenant_id", "site_id"], by_job, "left"), of_tenant, ["tenant_id"], by_job, "left")
     asked = F.col("requested_brand")
     foreign = asked.isNotNull() & (asked != NO_BRAND) & ~F.coalesce(F.col("_t") == F.col("tenant_id"), F.lit(False))
     elsewhere = F.col("_s").isNotNull() & F.col("site_id").isNotNull() & (F.col("_s") != F.col("site_id"))

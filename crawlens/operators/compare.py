@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlens.scale import first_n
+from crawlens.scale import first_n, lookup
 
 RECENT_CRAWLS, RECENT_JOBS = 10, 5
 
@@ -21,8 +21,10 @@ def issue_changes(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Both sides keep their duplicates; one left anti join each.
     """
-    current = keyed.join(pairs.select("site_id", F.col("current_id").alias("crawl_id")), ["site_id", "crawl_id"], "left_semi")
-    previous = keyed.join(pairs.select("site_id", F.col("previous_id").alias("crawl_id")), ["site_id", "crawl_id"], "left_semi")
+    of = lambda which: lookup(
+        keyed, pairs.select("site_id", F.col(which).alias("crawl_id")), ["site_id", "crawl_id"], F.xxhash64("key_url", "rule_code"), "left_semi"
+    )
+    current, previous = of("current_id"), of("previous_id")
     key = ["site_id", "rule_code", "key_url"]
     fresh = current.join(previous.select(*key), key, "left_anti").withColumn("change", F.lit("new"))
     gone = previous.join(current.select(*key), key, "left_anti").withColumn("change", F.lit("resolved"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crawlens import catalogue
 from crawlens.functions import text as T
 from crawlens.functions import url as U
-from crawlens.scale import sample_lists
+from crawlens.scale import lookup, sample_lists
 
 MAX_SAMPLES = 10
 MAX_DEPTH = 4
@@ -99,7 +99,7 @@ def link_statuses(resolved: DataFrame, pages: DataFrame) -> DataFrame:
     dropped before the shuffle of the rule; see ``broken_links``.
     """
     status = pages.select("crawl_id", F.col("page_id").alias("to_page_id"), F.col("status_code").alias("target_status"))
-    return resolved.join(status, ["crawl_id", "to_page_id"], "left")
+    return lookup(resolved, status, ["crawl_id", "to_page_id"], F.xxhash64("from_page_id"), "left")
 
 
 def broken_links(resolved: DataFrame, pages: DataFrame) -> DataFrame:
@@ -139,8 +139,7 @@ def not_in_sitemap(pages: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
     listed = sitemap_urls.select("site_id", U.sitemap_key(F.col("url")).alias("_key")).distinct()
     with_sitemap = listed.select("site_id").distinct()
     missing = (
-        rule_pages(pages).where(is_indexable())
-        .join(with_sitemap, "site_id", "left_semi")
+        lookup(rule_pages(pages).where(is_indexable()), with_sitemap, ["site_id"], F.xxhash64("page_id"), "left_semi")
         .withColumn("_key", U.sitemap_key(F.col("url")))
         .join(listed, ["site_id", "_key"], "left_anti")
     )

@@ -11,7 +11,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from crawlens import catalogue
 from crawlens.functions import text as T
-from crawlens.scale import first_n, shared_dir
+from crawlens.scale import first_n, lookup, shared_dir
 
 DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 50, 200
 TOP_ISSUES = 100
@@ -28,7 +28,7 @@ def issue_rows(page_findings: DataFrame, crawl_findings: DataFrame, crawls: Data
     )
     whole = crawl_findings.withColumn("is_crawl_level", F.lit(True))
     both = single.select(*columns).unionByName(whole.select(*columns))
-    return both.join(crawls.select("crawl_id", "site_id"), "crawl_id").select(
+    return lookup(both, crawls.select("crawl_id", "site_id"), ["crawl_id"], F.xxhash64("page_id", "rule_code")).select(
         # A key of joins: 256 bits, of parts that can't run into each other.
         F.sha2(F.to_json(F.struct("crawl_id", "rule_code", "page_id", "found")), 256).alias("issue_id"),
         "crawl_id", "site_id", "page_id", "rule_code", "category", "severity",
@@ -215,7 +215,7 @@ def open_site_issues(issues: DataFrame, rule_code: str) -> DataFrame:
 def tenant_guard(rows: DataFrame, sites: DataFrame, tenant_id: str) -> DataFrame:
     """Rows of one tenant only; ``rows`` carries site_id."""
     mine = sites.where(F.col("tenant_id") == tenant_id).select("site_id")
-    return rows.join(mine, "site_id", "left_semi")
+    return lookup(rows, mine, ["site_id"], F.xxhash64(*rows.columns[:8]), "left_semi").select(*rows.columns)
 
 
 _IGNORE_KEY = ["site_id", "rule_code", "url_pattern"]
@@ -257,8 +257,7 @@ def ignore_issues(
         F.coalesce(F.col("_wide"), F.lit(False)) & (F.col("status") == "open")
     )
     updated = (
-        issues.join(single, "issue_id", "left")
-        .join(wide, ["site_id", "rule_code"], "left")
+        lookup(issues.join(single, "issue_id", "left"), wide, ["site_id", "rule_code"], F.xxhash64("issue_id"), "left")
         .withColumn("status", F.when(hit, F.lit("ignored")).otherwise(F.col("status")))
         .select(*issues.columns)
     )

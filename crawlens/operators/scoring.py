@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlens import catalogue
+from crawlens.scale import lookup
 
 _DEC = "decimal(28,10)"
 
@@ -101,7 +102,7 @@ def issue_counts(issues: DataFrame) -> DataFrame:
 def rescore(crawls: DataFrame, issues: DataFrame) -> DataFrame:
     """Scores of stored crawls with today's formula; issue status is ignored, unscored crawls stay as they are."""
     scored = crawls.where(F.col("overall_score").isNotNull() & (F.col("pages_crawled") > 0))
-    findings = issues.join(scored.select("crawl_id"), "crawl_id", "left_semi").withColumns(
+    findings = lookup(issues, scored.select("crawl_id"), ["crawl_id"], F.xxhash64("issue_id"), "left_semi").withColumns(
         {
             "category": catalogue.rule_attribute(F.col("rule_code"), "category"),
             "is_crawl_level": F.col("rule_code").isin(catalogue.CRAWL_LEVEL_CODES),

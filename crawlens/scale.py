@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # A key that holds more than one in so many rows is hot. There are at most so many
 # hot keys, whatever the data: that bounds the list of them, which is broadcast.
 HOT_SHARE = 1_000
+# A looked-up table of up to so many bytes, as written, goes to every task.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -142,3 +144,18 @@ def spread_lookup(
         .drop("_salts")
     )
     return salted_facts.join(salted_lookup, [*keys, *also, "_salt"], how).drop("_salt")
+
+
+def lookup(
+    facts: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: Column, how: str = "inner", most_bytes: int | None = None
+) -> DataFrame:
+    """Join ``facts`` with a ``table`` that has few rows a key, whatever share of the facts one key holds.
+
+    The table is written, which tells its size: up to ``most_bytes`` (BROADCAST_BYTES) it is broadcast and the facts stay
+    where they are; above, hot keys are split as in ``spread_lookup``.
+    """
+    stored = cut(table, "lookup")
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= (BROADCAST_BYTES if most_bytes is None else most_bytes):
+        return facts.join(F.broadcast(stored), list(keys), how)
+    return spread_lookup(facts, stored, keys, spread_by, how)

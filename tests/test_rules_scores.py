@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from crawlens import catalogue
-from crawlens.operators import issues, links, page_rules, scoring
+from crawlens import catalogue, scale
+from crawlens.operators import brands, compare, crawl_rules, issues, links, page_rules, scoring
 from crawlens.scale import bucketed, first_n, ranked, sample_lists, spread_lookup
 
 HEALTHY = {
@@ -176,6 +176,36 @@ def test_redirects_are_followed_to_their_end(spark):
     assert all(got[f"p{i}"] == "p8" for i in range(8)) and got["x"] in ("x", "y") and "z" not in got
 
 
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_look_ups_split_hot_keys(spark, monkeypatch, most):
+    """One key holds nine of ten rows: each operator gives the same by either way, and no task gets that key whole."""
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", most)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(before, ("false", "-1", "16")):
+        spark.conf.set(k, v)
+    try:
+        n = F.col("id")
+        facts = spark.range(20_000).select("id", n.cast("string").alias("issue_id"), F.when(n % 10 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), n % 70)).alias("site_id"))
+        facts = facts.withColumns({"crawl_id": F.concat("site_id", F.lit("-1")), "page_id": F.concat(F.lit("p"), n % 999), "rule_code": F.lit("H1_MISSING"), "key_url": F.col("issue_id"), "status": F.lit("open")}).drop("id")
+        sites = facts.select("site_id", "crawl_id").distinct().withColumn("tenant_id", F.when(F.col("site_id") == "k0", F.lit("other")).otherwise(F.lit("t")))
+        mine = issues.tenant_guard(facts, sites, "t")
+        assert mine.count() == facts.where("site_id <> 'k0'").count() and mine.columns == facts.columns
+        found = scale.lookup(facts, sites.select("crawl_id", "tenant_id"), ["crawl_id"], F.xxhash64("issue_id"), "left")
+        per_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == 20_000 and max(per_task) < 20_000 / 3
+        pairs = spark.createDataFrame([("hot", "hot-1", "hot-0"), ("k7", "k7-1", "k7-1")], "site_id string, current_id string, previous_id string")
+        changed = compare.issue_changes(facts, pairs).groupBy("site_id", "change").count().collect()
+        assert [tuple(r) for r in changed] == [("hot", "new", 18_000)]
+        statuses = crawl_rules.link_statuses(facts.select("crawl_id", F.lit("p1").alias("to_page_id"), F.col("issue_id").alias("from_page_id")), sites.select("crawl_id", F.lit("p1").alias("page_id"), F.lit(404).alias("status_code")))
+        assert statuses.where("target_status = 404").count() == 20_000
+        profiles = spark.createDataFrame([("b1", "t", None, True, 1), ("b2", "t", "hot", True, 1)], "brand_id string, tenant_id string, site_id string, is_default boolean, created_at int")
+        jobs = facts.select(F.col("issue_id").alias("job_id"), "site_id", F.lit("t").alias("tenant_id"), F.lit(None).cast("string").alias("requested_brand"))
+        assert {tuple(r) for r in brands.resolve_brands(jobs, profiles).groupBy("brand_id").count().collect()} == {("b2", 18_000), ("b1", 2_000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_deep_pages_read_their_ranges(spark):
     rows = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 13).alias("rank"), F.concat(F.lit("u"), F.col("id") * 31 % 101).alias("url"), F.lit("x" * 50).alias("text")).repartition(6)
     order = [-F.col("rank"), F.col("url")]
