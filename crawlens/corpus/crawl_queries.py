@@ -128,6 +128,21 @@ def encoded_documents(spark, sf):
     return raw.select("crawl_id", "url", "title", F.length("main_text").alias("text_length"), F.sha2("main_text", 256).alias("text_hash"))
 
 
+_BASE = "https://cdn.example.org/alt/"
+
+
+@query(
+    "based_links",
+    sql(f"""SELECT crawl_id, from_url, CASE WHEN is_internal AND starts_with(to_url, base_url) THEN '{_BASE[:-5]}' || substr(to_url, length(base_url) + 1) ELSE to_url END AS to_url,
+    is_internal AND NOT starts_with(to_url, base_url) AS is_internal, is_nofollow FROM links"""),
+)
+def based_links(spark, sf):
+    """Links of documents whose head names another base: they resolve against it, and leave the site."""
+    html = F.regexp_replace("html", "</head>", f'<base href="{_BASE}"></head>')
+    fetched = inputs.load(spark, sf, "fetches").withColumn("html", html)
+    return FS.link_rows(FS.page_facts(FS.extract(fetched))).select("crawl_id", "from_url", "to_url", "is_internal", "is_nofollow")
+
+
 @query(
     "measured_images",
     sql("""SELECT i.crawl_id, i.url, count(s.bytes) AS n_measured, coalesce(sum(s.bytes), 0) AS total_bytes

@@ -10,6 +10,7 @@ from crawlens.corpus.oracle import sql
 from crawlens.corpus.registry import query
 from crawlens.operators import compare, issues, reports
 from crawlens.operators.issues import IssueQuery, PageQuery
+from crawlens.scale import first_n
 
 _ISSUE = ["crawl_id", "url", "rule_code", "severity", "status", "found"]
 
@@ -454,16 +455,15 @@ def report_documents(spark, sf):
     return reports.report_documents(reports.hero(crawls, found, _previous(spark, sf)), reports.scorecard(crawls), top, reports.rest_note(impacts, top))
 
 
-@query(
-    "report_period",
-    sql("""SELECT r.request_id, r.site_id, r.crawl_id, CAST(least(s, e) AS VARCHAR) AS period_start, CAST(greatest(s, e) AS VARCHAR) AS period_end FROM (
+_PERIODS = """SELECT r.request_id, r.site_id, r.crawl_id, CAST(least(s, e) AS VARCHAR) AS period_start, CAST(greatest(s, e) AS VARCHAR) AS period_end FROM (
       SELECT 'r' || j.page_id AS request_id, j.site_id, CASE WHEN j.type = 'title' THEN j.site_id || '-c1' ELSE j.site_id || '-c2' END AS crawl_id, j.type, j.status, j.site_no,
         CASE WHEN j.status = 'queued' THEN DATE '2024-06-01' ELSE CAST(c.started_at AS DATE) END AS s,
         CASE WHEN j.status = 'failed' THEN DATE '2024-01-15' ELSE DATE '2024-05-20' END AS e
       FROM jobs j JOIN crawls0 c ON c.crawl_id = CASE WHEN j.type = 'title' THEN j.site_id || '-c1' ELSE j.site_id || '-c2' END
-      WHERE j.type <> 'meta_description') r"""),
-)
-def report_period(spark, sf):
+      WHERE j.type <> 'meta_description') r"""
+
+
+def _reports(spark, sf):
     """Report requests derived from jobs; those that name another site's crawl are invalid."""
     jobs = inputs.load(spark, sf, "jobs")
     other = F.concat(F.lit("s"), (F.col("site_no") + 1).cast("string"), F.lit("-c1"))
@@ -476,3 +476,14 @@ def report_period(spark, sf):
     )
     rows = reports.report_requests(requests, inputs.load(spark, sf, "sites"), inputs.load(spark, sf, "crawls0"))
     return rows.select("request_id", "site_id", "crawl_id", F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"))
+
+
+@query("report_period", sql(_PERIODS))
+def report_period(spark, sf):
+    return _reports(spark, sf)
+
+
+@query("report_list", sql(f"SELECT * FROM (SELECT site_id, request_id, period_end, row_number() OVER (PARTITION BY site_id ORDER BY period_end DESC, request_id DESC) AS place FROM ({_PERIODS}) p) x WHERE place <= 20"))
+def report_list(spark, sf):
+    """The newest twenty reports of every site."""
+    return first_n(_reports(spark, sf), ["site_id"], reports.report_order(), 20, "place").select("site_id", "request_id", "period_end", "place")
