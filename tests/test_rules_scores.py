@@ -143,7 +143,7 @@ def test_depths_over_blocks_and_rounds(spark):
     resolved = spark.createDataFrame(rows, "crawl_id string, from_page_id long, to_page_id long")
     pages = spark.createDataFrame([("big", i, f"u{i:04}", i in (0, 250)) for i in range(400)] + [("small", i, f"u{i}", i == 0) for i in range(9)], "crawl_id string, page_id long, url string, is_seed boolean")
     expected = {("big", p): d for p, d in _plain_depths(big, [0, 250]).items()} | {("small", p): d for p, d in _plain_depths(small, [0]).items()}
-    for block, most in ((1000, 1), (50, 14), (7, 70)):
+    for block, most in ((1000, 1), (50, 14), (25, 30)):
         rounds = []
         assert {(r.crawl_id, r.page_id): r.depth for r in links.click_depths(resolved, pages, block, rounds).collect()} == expected
         assert rounds[0] <= most
