@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -27,6 +29,7 @@ LEXICON_FOLDS, TREE_FOLDS, CALIBRATION_FOLDS = (1, 2), (3,), (4,)
 #: Bound on the labelled rows that each of the three steps learns from, and on the lexicon.
 MAX_ROWS, MAX_TERMS = 20_000, 4_000
 GRAM = 5
+TIES = 1e-6
 # Words that address the reader, in the languages of the corpus.
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer eure sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros tus os".split()
@@ -66,6 +69,11 @@ class Features:
     def __init__(self, lexicon: dict[tuple[str, str], float], most: int = 200_000):
         self.words = {t: w for (k, t), w in lexicon.items() if k == "word"}
         self.parts = {t: w for (k, t), w in lexicon.items() if k == "part"}
+        self.found = ahocorasick.Automaton()
+        for t, w in self.parts.items():
+            # A part shorter than GRAM is a whole word with its ends.
+            self.found.add_word(t if len(t) == GRAM else f"\n{t}\n", w)
+        self.found.make_automaton()
         ranked = sorted(self.words.values(), reverse=True)
         self.strong = ranked[min(len(ranked) - 1, 100)] if ranked else 0.0
         self.most = most
@@ -76,17 +84,6 @@ class Features:
         self.rows = np.zeros((1024, 16), np.float32)
 
     def _row(self, token: str) -> tuple[float, ...]:
-        if token.isalpha():  # a bare word: nothing to strip, count or uncover
-            word, letters = token.lower(), len(token)
-            weight = self.words.get(word, 0.0)
-            part_weights = [self.parts[g] for g in grams(word) if g in self.parts]
-            upper = 0 if token.islower() else sum(c.isupper() for c in token)
-            stretched = _REPEATS.search(token) is not None
-            hidden = self.words.get(uncovered(token), 0.0) if stretched and weight == 0.0 else 0.0
-            return (
-                float(weight >= self.strong > 0), float(weight > 0), weight, float(bool(part_weights)), max(part_weights, default=0.0), hidden,
-                float(word in SECOND_PERSON), letters, upper, float(upper > 2 and upper == letters), 0, 0, 0.0, 0.0, float(stretched), 0,
-            )
         word = plain(token)
         weight = self.words.get(word, 0.0)
         part_weights = [self.parts[g] for g in grams(word) if g in self.parts] if word else []
@@ -106,6 +103,52 @@ class Features:
             float(edge), float(inner), float(bool(_REPEATS.search(token))), digits,
         )
 
+    def _part_weights(self, words: list[str]) -> dict[int, float]:
+        """The largest weight among the parts of a word, by its place, for words that have any. They hold no line break."""
+        best: dict[int, float] = {}
+        if not self.parts:
+            return best
+        joined = "\n\n".join([f"^{w}$" for w in words])
+        hits = list(self.found.iter(f"\n{joined}\n"))
+        if hits:
+            # A word's lengths with its marks and the line breaks around it, added up, are where it ends.
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 4)
+            for at, weight in zip(np.searchsorted(ends, [e for e, _ in hits], side="right").tolist(), (w for _, w in hits)):
+                best[at] = max(best.get(at, 0.0), weight)
+        return best
+
+    def _add(self, new: list[str]) -> None:
+        """Rows of new tokens; those that are a bare word, or one between marks, are described together."""
+        cores = [t.strip(_ENDS) for t in new]
+        simple = [c.isalpha() and (c == t or c.isascii() or c.lower().isalpha()) and "_" not in t for t, c in zip(new, cores)]
+        base = len(self.known)
+        own = list(compress(new, simple))
+        if own:
+            bare = list(compress(cores, simple))
+            words = [c.lower() for c in bare]
+            weight = np.array([self.words.get(w, 0.0) for w in words])
+            rows = np.zeros((len(own), self.rows.shape[1]))
+            rows[:, 0], rows[:, 1], rows[:, 2] = (weight >= self.strong) & (self.strong > 0), weight > 0, weight
+            for at, part in self._part_weights(words).items():
+                rows[at, 3], rows[at, 4] = 1.0, part
+            rows[:, 6] = [w in SECOND_PERSON for w in words]
+            rows[:, 7] = letters = np.fromiter(map(len, bare), np.int64, len(bare))
+            rows[:, 8] = upper = np.array([0 if c.islower() else sum(x.isupper() for x in c) for c in bare])
+            rows[:, 9] = (upper > 2) & (upper == letters)
+            rows[:, 10] = marks = np.fromiter(map(len, own), np.int64, len(own)) - letters
+            rows[:, 12] = marks > 0
+            for at in np.flatnonzero(marks).tolist():
+                rows[at, 11] = own[at].count("!") + own[at].count("?")
+            for at, token in enumerate(own):
+                if _REPEATS.search(token):
+                    rows[at, 14] = 1.0
+                    rows[at, 5] = self.words.get(uncovered(token), 0.0) if weight[at] == 0.0 else 0.0
+            self.rows[base : base + len(own)] = rows
+            self.known.update(zip(own, range(base, base + len(own))))
+        for token in compress(new, (not x for x in simple)):
+            self.rows[len(self.known)] = self._row(token)
+            self.known[token] = len(self.known)
+
     def _ids(self, tokens: list[str]) -> np.ndarray:
         known = self.known
         new = set(tokens).difference(known)
@@ -116,9 +159,7 @@ class Features:
             grown = np.zeros((2 * (len(known) + len(new)), self.rows.shape[1]), np.float32)
             grown[: len(known)] = self.rows[: len(known)]
             self.rows = grown
-        for token in sorted(new):
-            self.rows[len(known)] = self._row(token)
-            known[token] = len(known)
+        self._add(list(new))
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
     def of(self, text: str) -> list[float]:
@@ -234,8 +275,9 @@ class ToxicityModel:
         """``rows`` (any columns and text) without text, with ``score`` between 0 and 1."""
         scored = self.raw(rows)
         if self.calibration is not None:
-            # A tenth of the trees' own probability keeps the order within a step of the calibration.
-            scored = self.calibration.transform(scored).withColumn("raw", 0.9 * F.col("prediction") + 0.1 * F.col("raw")).drop("prediction")
+            # The trees' own probability only orders what the calibration scores alike: it adds less than TIES, less than the
+            # steps of a calibration by max_rows rows, and never takes away, so a score is cut at one half as calibrated.
+            scored = self.calibration.transform(scored).withColumn("raw", F.col("prediction") + TIES * F.col("raw") * (1 - F.col("prediction"))).drop("prediction")
         return scored.withColumnRenamed("raw", "score").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
 
 
