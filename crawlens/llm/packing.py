@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 from bisect import bisect_right
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from crawlens.llm.common import kept, query, running_total, table, text_batches
 from crawlens.scale import cut
 
 WINDOW, END_ID = 4096, 2
-#: A source with fewer tokens a window shares a queue with others like it; so there are at most WINDOW / LEAST queues.
+#: A source without a target and with fewer tokens a window shares a queue with others like it; so there are at most WINDOW / LEAST queues.
 LEAST = 2
 # White space as the tokenizer knows it; Python's own split() knows four separators more.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -36,14 +37,31 @@ _LATIN = re.compile("[\x00-\xff]*")
 _ALPHABETS = re.compile("[\x00-\u024f]*")
 # Fixed value: the pattern by which the tokenizer splits words.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+
+
+class _Kept(dict):
+    """Ids by word or piece, found where they are missing; up to ``most`` of at most 64 characters are kept."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.find, self.most = find, most
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.find(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = ids
+        return ids
 
 
 class WordEncoder:
     """Token ids of texts, two bytes an id, by the tokenizer of words and signs at ``path``.
 
-    The tokenizer never joins across white space, and within a word it splits off signs and digits first. The ids of
-    words and of their pieces are kept for later texts, up to ``most`` of each and 64 characters. New pieces are
-    encoded many at a time; the ids that end a piece tell them apart.
+    The tokenizer never joins across white space, and within a word it splits off signs and digits first, so words and
+    their pieces are encoded once and kept, up to ``most`` of each. A piece goes to the tokenizer's model as the
+    tokenizer hands it there, by its bytes; words beyond the Latin alphabets go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -53,8 +71,9 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids beyond 65535 don't fit two bytes")
-        self.ends_piece = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.most, self.words, self.pieces = most, {}, {}
+        self.packed = [i.to_bytes(2, "little") for i in range(size)]
+        self.model, self.level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words, self.pieces = _Kept(self._word, most), _Kept(self._piece, most)
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -64,47 +83,25 @@ class WordEncoder:
             text = text.lower()  # as the tokenizer does; elsewhere its rules may differ
         return text.split()
 
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        normal = self.tokenizer.normalizer.normalize_str
-        # The tables of letters that Python, the pattern and the tokenizer know agree on the Latin alphabets.
-        odd = [w for w in words if not w.isascii() and not _ALPHABETS.fullmatch(w)]
-        found = dict(zip(odd, (i.tobytes() for i in self._encoded(odd)))) if odd else {}
-        words = [w for w in words if w not in found] if odd else words
-        plain = [w if w == w.lower() and (w.isascii() or _LATIN.fullmatch(w)) else normal(w) for w in words]
-        split = [[w] if w.isalpha() else _PIECE.findall(w) for w in plain]
-        new = list(set().union(*split).difference(self.pieces))
-        if len(self.pieces) + len(new) > self.most:
-            self.pieces = {}
-            new = list(set().union(*split))
-        parts = [new[i : i + 200] for i in range(0, len(new), 200)]
-        for part, ids in zip(parts, self._encoded([" ".join(p) for p in parts])):
-            ends = np.flatnonzero(self.ends_piece[ids]) + 1
-            if len(ends) == len(part):
-                packed, at = ids.tobytes(), 0
-                for piece, end in zip(part, (2 * ends).tolist()):
-                    self.pieces[piece] = packed[at:end]
-                    at = end
-            else:
-                self.pieces |= {p: i.tobytes() for p, i in zip(part, self._encoded(part))}
-        known = self.pieces.__getitem__
-        found.update((w, known(p[0]) if len(p) == 1 else b"".join(map(known, p))) for w, p in zip(words, split))
-        return found
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):  # printable ASCII stands for itself
+            piece = self.level.pre_tokenize_str(piece)[0][0]
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(piece)])
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii():
+            word = word.lower()
+            return self._piece(word) if word.isalpha() else b"".join([self.pieces[p] for p in _ASCII_PIECE.findall(word)])
+        if not _ALPHABETS.fullmatch(word):
+            # The tables of letters that Python, the pattern and the tokenizer know agree on the Latin alphabets only.
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        if word != word.lower() or not _LATIN.fullmatch(word):
+            word = self.tokenizer.normalizer.normalize_str(word)
+        return b"".join([self.pieces[p] for p in _PIECE.findall(word)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        words = set().union(*split)
-        new = list(words.difference(self.words))
-        found = self._new_words(new) if new else {}
-        if len(self.words) + len(found) > self.most:
-            found |= {w: self.words[w] for w in words if w in self.words}
-            self.words = {}
-        long = {w: found.pop(w) for w in new if len(w) > 64}
-        self.words |= found
-        ids = {**self.words, **long} if long else self.words
-        return [b"".join(map(ids.__getitem__, s)) for s in split]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, self._split(t))) for t in texts]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -126,7 +123,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 class Mixture:
     """Where each queue's tokens go: phases of the stream, each serving every queue a fixed number of tokens.
 
-    A queue's weight must give it LEAST tokens a window, or be zero: smaller shares can't be told apart by rounding.
+    A queue of weight zero waits until the others have run dry.
     """
 
     def __init__(self, totals: list[int], weights: list[int], window: int = WINDOW):
@@ -188,9 +185,9 @@ def pack(
     """Pieces of documents laid into windows: doc_id, source, start, length, ids (four bytes each, little-endian),
     doc_tokens, sequence_id, offset.
 
-    ``targets`` gives the wanted proportion of tokens of some sources; a source not named, or with less than LEAST
-    tokens a window, has none and is served when the others have run dry. Without targets each source has its share of all tokens, so that every window holds the
-    mixture of the corpus. Every id lies in exactly one piece; all windows but the last are full. Null and empty texts
+    ``targets`` gives the wanted proportion of tokens of some sources, small ones too; a source that has none is served
+    when those have run dry. Without targets each source has its share of all tokens, so that every window holds the
+    mixture of the corpus; sources with less than LEAST tokens a window share a queue. Every id lies in exactly one piece; all windows but the last are full. Null and empty texts
     are END_ID alone; a null source counts as the source ''. Each row is a document of its own, whatever its id, so
     repeated rows and null ids are packed too. An empty table gives no pieces. Other columns are ignored.
     """
@@ -198,12 +195,14 @@ def pack(
     stored = cut(tokenized(docs, tokenizer, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
     totals = cut(stored.groupBy("source").agg(F.sum("n").alias("n")), "totals")
     total = totals.agg(F.sum("n")).first()[0] or 0
-    # At most window / LEAST sources are this large.
-    large = [(r["source"], r["n"]) for r in totals.where(F.col("n") * window >= LEAST * F.lit(total)).orderBy(F.desc("n"), "source").collect()]
+    # At most window / LEAST sources are this large; those with a target have a queue of their own, however small.
+    wanted = {k: w for k, w in (targets or {}).items() if w > 0}
+    alone = F.col("n") * window >= LEAST * F.lit(total)
+    large = [(r["source"], r["n"]) for r in totals.where(alone | F.col("source").isin(list(wanted))).orderBy(F.desc("n"), "source").collect()]
     rest = total - sum(n for _, n in large)
     sizes = [n for _, n in large]
     shared = len(sizes)
-    if rest and large and rest * window < LEAST * total:
+    if rest and large and targets is None and rest * window < LEAST * total:
         shared -= 1
         sizes[-1] += rest
     elif rest or not sizes:
@@ -211,8 +210,8 @@ def pack(
     if targets is None:
         weights = sizes
     else:
-        whole = sum(targets.values())
-        weights = [round(1e9 * w) if (w := targets.get(s, 0)) * window >= LEAST * whole else 0 for s, _ in large] + [0] * (len(sizes) - len(large))
+        whole = sum(wanted.values())
+        weights = [max(1, round(1e9 * wanted[s] / whole)) if s in wanted else 0 for s, _ in large] + [0] * (len(sizes) - len(large))
     mixture = Mixture(sizes, weights, window)
     names = spark.createDataFrame([(s, q) for q, (s, _) in enumerate(large)], "source string, queue int")
     places = running_total(

@@ -111,6 +111,7 @@ def test_words_are_encoded_as_by_the_tokenizer(tokenizer):
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(4000)]
     texts += ["<|endoftext|> a", "it's don't I'LL we'Ve", "a" * 5000 + ".", ""] + ["".join(chr(r.choice([r.randint(0, 0x2FF), r.randint(0xE000, 0x1FFFF)])) for _ in range(9)) for _ in range(3000)]
     encoder = packing.WordEncoder(TOKENIZER, most=500)
+    texts += ["\x1c word\x1cword \x1f 'll\x7fx1 \xa0 '\x85ve"]
     for i in range(0, len(texts), 100):
         part = texts[i : i + 100]
         assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(part)] == [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
@@ -187,6 +188,19 @@ def test_packing_keeps_every_id(spark, tokenizer):
     assert packing.pack(df.limit(0), TOKENIZER).count() == 0
 
 
+def test_a_small_source_has_its_target(spark, tokenizer):
+    rows = [(i, "word " * 4000, "big") for i in range(60)] + [(100, "tiny " * 3000, "small"), (101, "else " * 10, "other")]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), TOKENIZER, {"big": 0.5, "small": 0.5}).collect()
+    check_pieces(pieces, rows, tokenizer)
+    assert [sum(p.length for p in pieces if p.source == "small" and p.sequence_id == w) for w in range(3)] == [2048, 953, 0]
+    assert {p.sequence_id for p in pieces if p.source == "other"} == {max(p.sequence_id for p in pieces)}
+    # A target far below one token a window is served now and then.
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), TOKENIZER, {"big": 1, "other": 1e-4}).collect()
+    check_pieces(pieces, rows, tokenizer)
+    served = sorted({p.sequence_id for p in pieces if p.source == "other"})
+    assert len(served) > 3 and max(sum(p.length for p in pieces if p.source == "other" and p.sequence_id == w) for w in served) <= 1
+
+
 def test_archives_come_back(spark):
     rows = [(i, f"http://h/{i} x", f"<p>{i % 40}</p>" * (i % 7)) for i in range(400)]
     rows += [(900, None, None), (901, "http://é/\r\nX: y", ""), (902, "u", "é🙂" * 200_000), (903, "u", "WARC/1.1\r\n\r\n" * 5), (3, "again", rows[3][2]), (3, "again", rows[3][2]), (None, "n", rows[3][2]), (None, "n", "alone")]
