@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlens.llm.common import ascii_lower, query, table
+from crawlens.llm.common import ascii_lower, query, table, without
 from crawlens.scale import cut, spread_lookup
 
 MIN_CHARS, MAX_CHARS = 1024, 8192
@@ -96,19 +96,11 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that exact dedup keeps, with all their columns; cases as in ``exact_duplicates``.
 
     Rows repeated with the same id and text are reduced to one of them, whatever stands in other columns.
+    Other columns come back as they are, whatever their names.
     """
-    columns = docs.columns
-    result = cut(exact_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept", "keep_id"), "exact")
-    dropped = result.groupBy("_id", "_sha").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    dropped = cut(dropped.where("not _kept or _n > 1"), "dropped")
-    marked = docs.withColumns({"_sha": F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)})
-    # Documents are held against the rows that go, which are few; null ids compare as equal.
-    joined = marked.join(dropped, marked[id_col].eqNullSafe(dropped["_id"]) & (marked["_sha"] == dropped["_sha"]), "left").drop(dropped["_sha"])
-    single = joined.where("_n is null").select(*columns)
-    if dropped.where("_kept").isEmpty():
-        return single
-    repeated = joined.where("_kept").dropDuplicates([id_col, "_sha"]).select(*columns)
-    return single.unionByName(repeated)
+    result = cut(exact_duplicates(docs, id_col, text_col).select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("key"), "kept"), "exact")
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    return without(docs, F.struct(F.col(id_col).alias("doc_id"), sha.alias("sha")), result)
 
 
 OP2_SQL = """

@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401  (makes pa.compute known)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlens.scale import cut, spread_lookup
+from crawlens.scale import cut, lookup, spread_lookup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,26 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str, max_chars: int
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
+def without(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not decided against; one row of a key that is decided on more than once, and for.
+
+    ``decided`` has ``key`` (never null itself; nulls inside it equal each other) and ``kept``. A key decided on once and
+    for needs no word. The keys with one are written, which tells their size: where they are small they go to the rows,
+    which then stay where they are; else the rows with a hot key are split. Rows travel as one struct, so their columns
+    may have any names.
+    """
+    told = decided.groupBy("key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1").select("key", "kept")
+    told = cut(told, "told")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), key.alias("key"))
+    joined = lookup(rows, told, ["key"], F.rand(7), "left")
+    single = joined.where("kept is null").select("whole.*")
+    if told.where("kept").isEmpty():
+        return single
+    # Of a repeated key any row; each task leaves one of its own before rows move.
+    one = joined.where("kept").groupBy("key").agg(F.first("whole").alias("whole"))
+    return single.unionByName(one.select("whole.*"))
+
+
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 4096, ties: Sequence[str] = ()) -> DataFrame:
     """``out``: the sum of ``value`` over earlier rows of the same keys, by the integer ``order`` and then ``ties``.
 

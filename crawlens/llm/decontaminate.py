@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlens.llm.common import kept, query, running_total, table, text_batches
+from crawlens.llm.common import kept, query, running_total, table, text_batches, without
 from crawlens.scale import cut
 
 SIZE, SIMILARITY, RADIUS = 5, 0.8, 15
@@ -261,11 +261,13 @@ def contaminated(
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; cases as in ``contaminated``.
 
-    Rows go by their text, so a clean row stays whatever else has its id or none.
+    Rows go by their text, so a clean row stays whatever else has its id or none. Other columns come back as they are,
+    whatever their names.
     """
-    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    dirty = cut(contaminated(marked, items, "_sha", text_col).select(F.col("doc_id").alias("_sha")).distinct(), "contaminated")
-    return marked.join(dirty, "_sha", "left_anti").select(*docs.columns)
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    keyed = docs.select(sha.alias("sha"), F.col(text_col).alias("text"))
+    dirty = contaminated(keyed, items, "sha", "text").select(F.col("doc_id").alias("key"), F.lit(False).alias("kept"))
+    return without(docs, sha, dirty)
 
 
 @query("op6_decontamination")

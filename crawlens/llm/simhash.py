@@ -106,20 +106,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each component, with all its columns: the smallest id's, then by text checksum; else as in ``near_duplicates``.
-
-    A row with a null id stays only where its component has no other. Rows go by id and text together, so a row is not
-    touched by the fate of others with its id or none; rows repeated with the same id and text stay or go as one.
-    """
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), sha.alias("sha")).alias("key"), F.col(text_col).alias("text"))
-    away = near_duplicates(keyed, "key", "text", size, radius).where("not doc_id <=> component_id")
-    away = cut(away.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.sha").alias("_gone")).distinct(), "away")
-    marked = docs.withColumn("_sha", sha)
-    return marked.join(away, marked[id_col].eqNullSafe(away["_id"]) & (marked["_sha"] == away["_gone"]), "left_anti").select(*docs.columns)
-
-
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""

@@ -331,8 +331,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 def keep_harmless(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores below one half, with all their columns; cases as in ``score_documents``."""
-    columns = docs.columns
-    whole = docs.select(F.struct(*columns).alias("_whole"), F.col(text_col).alias("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(text_col).alias("text"))
     return model.score(whole).where("score < 0.5").select("_whole.*")
 
 

@@ -3,7 +3,10 @@
 import random
 
 import corpus_pipeline
-from crawlens.llm import decontaminate, minhash, simhash
+import pytest
+from crawlens import scale
+from crawlens.llm import chunk_dedup, decontaminate, minhash, toxicity
+from pyspark.sql import functions as F
 from test_dedup import frame
 
 
@@ -73,14 +76,32 @@ def test_near_dedup_of_odd_rows(spark):
     assert minhash.keep_one(frame(spark, [(1, a), (2, b)])).count() == 2
 
 
-def test_simhash_rows_go_by_themselves(spark):
-    rows = [(None, "one two three"), (None, "other words here"), (4, "One two three"), (5, "five words of the first"), (6, "Five words of the first"), (5, "a second text of it"), (3, "A second text of it")]
-    kept = simhash.keep_one(frame(spark, rows))
-    assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == [("3", "A second text of it"), ("4", "One two three"), ("5", "five words of the first"), ("None", "other words here")]
-
-
 def test_clean_rows_with_the_id_of_a_contaminated_one_stay(spark):
     item = " ".join(f"i{n}" for n in range(30))
     rows = [(None, f"before {item} after"), (None, "clean words of its own"), (None, None), (2, f"{item} then"), (2, "also clean"), (3, "")]
     clean = decontaminate.keep_clean(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted((str(x.doc_id), str(x.text)) for x in clean.collect()) == [("2", "also clean"), ("3", ""), ("None", "None"), ("None", "clean words of its own")]
+
+
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_columns_of_any_name_come_back(spark, monkeypatch, most):
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", most)
+    names = ["_sha", "_id", "_n", "_kept", "_gone", "key", "kept", "whole", "sha", "_salt", "_salts", "n", "a.b"]
+    item = " ".join(f"i{n}" for n in range(30))
+    long = " ".join(f"v{n}" for n in range(60_000))
+    rows = [(1, "some text"), (1, "some text"), (2, "some text"), (3, item), (None, None), (None, None), (4, "of its own"), (5, long), (6, long + " more")]
+    given = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in names})
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    model = toxicity.ToxicityModel({}, None, None, 0.0)
+    own = [(None, None), (2, "some text"), (3, item), (4, "of its own"), (5, long), (6, long + " more")]
+    clean = sorted((r for r in rows if r[1] != item), key=str)
+    for kept, expected in [
+        (chunk_dedup.keep_unique(given), own),
+        (minhash.keep_one(given), [(None, None), (1, "some text"), (3, item), (4, "of its own"), (5, long)]),
+        (decontaminate.keep_clean(given, bench), clean),
+        (toxicity.keep_harmless(given, model), rows),
+    ]:
+        assert kept.schema.simpleString() == given.schema.simpleString()
+        found = kept.collect()
+        assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(expected, key=str)
+        assert all(r[c] == f"own {c}" for r in found for c in names)
