@@ -66,6 +66,15 @@ def cap_body(html: Column, most: int | None, binary: bool = False) -> Column:
     return F.when(F.octet_length(html) > most, cut if binary else F.decode(cut, "utf-8")).otherwise(html)
 
 
+def closed_references(html: Column) -> Column:
+    """Markup in which a character reference without its semicolon is plain text.
+
+    HTML itself reads some without one (``&amp`` at the end of a title that was cut is an ampersand), and so does the
+    default extractor; this is for sources whose own readers do not.
+    """
+    return F.regexp_replace(html, "&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)", "&amp;")
+
+
 def _clip(value: Column, most: int | None) -> Column:
     return value if most is None else F.substring(value, 1, most)
 
