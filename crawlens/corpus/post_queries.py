@@ -568,7 +568,7 @@ def streaming_crawl_end(spark, sf):
         pages = streams.FS.page_rows(facts).withColumn("is_asset", F.lit(False))
         pages = cut(streams.FS.measured_images(pages, _sizes(spark, sf)), "pages")
         own = crawls.join(ended, "crawl_id", "left_semi")
-        found = audit_tables(pages, cut(streams.FS.link_rows(facts), "links"), own, inputs.load(spark, sf, "robots"), stage.sitemaps(spark, sf), stage.crawl_vitals(spark, sf))
+        found = audit_tables(pages, cut(streams.FS.link_rows(facts), "links"), own, inputs.load(spark, sf, "robots"), stage.sitemaps(spark, sf), stage.crawl_vitals(spark, sf), most_blocked=stage.MOST_BLOCKED)
         return found.issues.join(found.pages.select("crawl_id", "page_id", "url"), ["crawl_id", "page_id"])
 
     events = streams.read_fetches(spark, f"{root}/in", streams.EVENT_SCHEMA, files_per_trigger=3)

@@ -236,3 +236,11 @@ def test_ignore_needs_a_reason(spark):
     _, merged = issues.ignore_issues(base, none, asked, pages)
     with pytest.raises(Exception, match="a reason is required"):
         merged.collect()
+
+
+def test_number_of_blocked_urls_in_its_finding(spark):
+    blocked = spark.range(130).select(F.lit("c").alias("crawl_id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.col("id").alias("seq"))
+    homes = spark.createDataFrame([("c", "home")], "crawl_id string, page_id string")
+    for most, n in ((None, 130), (100, 100), (200, 130)):
+        found = crawl_rules.blocked_by_robots(blocked, homes, most).collect()
+        assert [(r.found, len(r.sample_urls)) for r in found] == [(f"robots.txt {n} iç adresin taranmasını engelliyor.", 10)]
