@@ -538,7 +538,8 @@ def _arrived(spark, sf):
 
 
 def _sizes(spark, sf):
-    return stage.image_sizes(stage.pages(spark, sf))
+    """Written once: every micro-batch looks them up."""
+    return stage.once(spark, sf, "sizes", lambda: cut(stage.image_sizes(stage.pages(spark, sf)), "sizes"))
 
 
 @query("streaming_audit", sql("SELECT crawl_id, url, rule_code, found FROM page_findings"))
@@ -579,11 +580,16 @@ def streaming_crawl_end(spark, sf):
 
 
 def _counted(spark, sf, made, running):
-    """What a second stream counts over the rows that a first one writes."""
+    """What a second stream counts over the rows that a first one writes.
+
+    Its files are as many as the first one's shuffle has partitions, for each of its micro-batches; a micro-batch here
+    takes a quarter of them, as each one opens the state of all partitions, however few its rows are.
+    """
     root, arriving = _arrived(spark, sf)
     streams.persist_batches(arriving, f"{root}/rows", f"{root}/checkpoint", made=made).awaitTermination()
-    schema = spark.read.parquet(f"{root}/rows").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/rows")
+    written = spark.read.parquet(f"{root}/rows")
+    quarter = max(4, -(-len(written.inputFiles()) // 4))
+    rows = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", quarter).parquet(f"{root}/rows")
     streams.persist_batches(running(rows), f"{root}/counts", f"{root}/checkpoint-counts", mode="update").awaitTermination()
     return spark.read.parquet(f"{root}/counts")
 

@@ -282,3 +282,18 @@ def test_references_without_a_semicolon_as_the_checks_read_them(spark, tmp_path)
     read = {t for t in read if "Kopya" not in t}  # a copy that the derived pages hold
     assert len(read) >= 3 and read <= {f"read: {t}" for t in seen.values()}
     assert markup.scan(html.format("cut &amp"))["title"] == "cut &"  # HTML itself reads it so, and the extractor does
+
+
+def test_micro_batches_of_running_counts_do_not_grow_with_shuffle_partitions(spark, tmp_path):
+    from crawlens.corpus import post_queries
+
+    rows = [(i, f"https://x/{i}", f'<html lang="en"><head><title>page {i}</title></head><body><p>t</p></body></html>') for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        counts = post_queries._counted(spark, str(tmp_path), lambda a: jobs.stream_pages(a).select("crawl_id", "page_id"), jobs.progress)
+        assert 1 < counts.select("batch_id").distinct().count() <= 4
+        assert jobs.latest(counts, ["crawl_id"]).agg(F.sum("pages_crawled")).first()[0] == 800
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
