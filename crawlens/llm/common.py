@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     """What a worker's tasks share, by what it was made from. Only the latest is kept: operators follow each other."""
     if key not in _KEPT:
         _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()  # workers live through many stages
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -1,6 +1,7 @@
-"""Near-dedup of whole texts by MinHash bands and exact similarity.
+"""Near-dedup of whole texts by SimHash balls, MinHash bands and exact similarity.
 
-A text has BANDS values, each made of ROWS minima of its shingle hashes; texts that share a value are held against
+Texts whose SimHash fingerprints are equal or differ in two bits are held against each other, found by ball hashing as
+in ``simhash``. Texts at 0.8 mostly differ in more bits than that, so MinHash finds the others: a text has BANDS values, each made of ROWS minima of its shingle hashes; texts that share a value are held against
 each other by the exact Jaccard similarity of their shingle sets. Of two texts at similarity s, no value is shared with
 a probability of (1 - s ** ROWS) ** BANDS: 3 in 100 000 at 0.8, less above it.
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlens.llm.common import components, text_batches, without
-from crawlens.llm.simhash import shingle_hashes
+from crawlens.llm.simhash import fingerprint_of, linked_fingerprints, shingle_hashes
 from crawlens.scale import cut, spread_lookup
 
 SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
@@ -27,9 +28,8 @@ _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint6
 _MIXERS = np.random.default_rng(43).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_values(text: str) -> np.ndarray:
-    """One signed 64-bit value for each band; a text without words has values of its own."""
-    hashes = shingle_hashes(text, SIZE)
+def band_values(hashes: np.ndarray) -> np.ndarray:
+    """One signed 64-bit value for each band, from a text's shingle hashes; a text without words has values of its own."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(hashes), 4096):
         least = np.minimum(least, (hashes[start : start + 4096, None] * _FACTORS).min(axis=0))
@@ -46,14 +46,19 @@ def similarity(a: str, b: str) -> float:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, sha (of the text, null being empty) and values of every row."""
+    """id, sha (of the text, null being empty), fingerprint and values of every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = rows.select("id", F.lit(b"").alias("sha"), F.lit(None).cast("array<long>").alias("values")).schema
+    schema = rows.select("id", F.lit(b"").alias("sha"), F.lit(0).cast("long").alias("fp"), F.lit(None).cast("array<long>").alias("values")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches, "text"):
             shas = pa.array([sha256(t.encode()).digest() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("id"), shas, pa.array([band_values(t) for t in texts], pa.list_(pa.int64()))], schema.names)
+            prints, values = [], []
+            for text in texts:
+                hashes = shingle_hashes(text, SIZE)
+                prints.append(fingerprint_of(hashes))
+                values.append(band_values(hashes))
+            yield pa.RecordBatch.from_arrays([part.column("id"), shas, pa.array(prints, pa.int64()), pa.array(values, pa.list_(pa.int64()))], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -64,7 +69,7 @@ def _sha(text_col: str):
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Those of the pairs of nodes (a, b) whose texts are similar."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sha"), "node")
     texts = docs.select(_sha(text_col).alias("sha"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "sha")
     texts = cut(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     both = spread_lookup(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), ["a"], F.col("b"), "inner")
@@ -82,14 +87,24 @@ def _roots(edges: DataFrame) -> DataFrame:
     return cut(components(edges), "roots")
 
 
+def close_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b): each with the first one of its fingerprint, and first ones whose fingerprints link."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "prints")
+    same = spread_lookup(nodes.select("fp", "node"), first.where("n > 1").select("fp", "first"), ["fp"], F.col("node"), "inner", sizes=first.select("fp", "n"))
+    named = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}"))
+    linked = linked_fingerprints(first.select("fp")).join(named("a"), "a").join(named("b"), "b")
+    return same.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).union(
+        linked.select(F.least("_a", "_b"), F.greatest("_a", "_b")))
+
+
 def linked_texts(bands: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame | None:
-    """node, root of all nodes with a similar one; None where there is none. ``bands``: node, value."""
+    """node, root of all nodes with a similar one; None where there is none. ``bands``: node, value; ``nodes``: node, sha, fp."""
     # Another one of a value's texts for each value, so that a text apart from one of them meets others.
     first = bands.groupBy("value").agg(F.min(F.struct(F.xxhash64("node", "value").alias("o"), "node"))["node"].alias("first"), F.count(F.lit(1)).alias("n"))
     first = cut(first.where("n > 1"), "values")
     met = cut(spread_lookup(bands, first.select("value", "first"), ["value"], F.col("node"), "inner", sizes=first.select("value", "n")), "met")
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    seen = cut(met.where("node <> first").select(*ordered("node", "first")).distinct(), "pairs")
+    seen = cut(met.where("node <> first").select(*ordered("node", "first")).union(close_prints(nodes)).distinct(), "pairs")
     if seen.isEmpty():
         return None
     edges = cut(_similar(seen, nodes, docs, text_col), "similar")
@@ -126,9 +141,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     are, whatever their names.
     """
     stored = cut(_signatures(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    nodes = cut(stored.groupBy("sha").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes = cut(stored.groupBy("sha").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "nodes")
     bands = stored.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode("values").alias("value"))
-    roots = linked_texts(cut(bands, "bands"), nodes.select("node", "sha"), docs, text_col)
+    roots = linked_texts(cut(bands, "bands"), nodes.select("node", "sha", "fp"), docs, text_col)
     named = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = cut(spread_lookup(stored.select("id", "sha"), named.select("sha", "root"), ["sha"], F.xxhash64("id"), "inner", sizes=nodes.select("sha", "n")), "rows")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("best"), F.count(F.lit(1)).alias("n"))

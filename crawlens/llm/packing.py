@@ -64,7 +64,7 @@ class WordEncoder:
     tokenizer hands it there, by its bytes; words beyond the Latin alphabets go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlens.llm.common import components, query, table, text_batches
+from crawlens.llm.common import components, query, table, text_batches, without
 from crawlens.scale import cut, spread_lookup
 
 SEED = 42
@@ -50,7 +50,10 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str, size: int = 3) -> int:
     """Bits set in over half of the shingle hashes; 0 for a text without words. As a signed 64-bit integer."""
-    hashes = shingle_hashes(text, size)
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     return int(np.packbits(2 * bit_counts(hashes) > len(hashes)).view(">i8")[0])
@@ -106,6 +109,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component, with all its columns: the smallest id's, then by text checksum; else as in ``near_duplicates``.
+
+    A row with a null id stays only where its component has no other. Rows go by id and text together, so a row is not
+    touched by the fate of others with its id or none; rows repeated with the same id and text are one.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"))
+    found = near_duplicates(docs.select(key.alias("key"), text.alias("text")), "key", "text", size, radius)
+    return without(docs, key, found.select(F.col("doc_id").alias("key"), F.expr("doc_id <=> component_id").alias("kept")))
+
+
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""

@@ -105,3 +105,14 @@ def test_columns_of_any_name_come_back(spark, monkeypatch, most):
         found = kept.collect()
         assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(expected, key=str)
         assert all(r[c] == f"own {c}" for r in found for c in names)
+
+
+def test_fingerprints_within_two_bits_meet(spark):
+    r = random.Random(5)
+    prints = [r.getrandbits(63) for _ in range(50)]
+    rows = [(n, p) for n, p in enumerate(prints)] + [(50 + n, p ^ 5) for n, p in enumerate(prints[:20])] + [(70, prints[0]), (71, prints[0] ^ 15)]
+    nodes = spark.createDataFrame(rows, "node long, fp long")
+    pairs = {(x.a, x.b) for x in minhash.close_prints(nodes).collect()}
+    assert {(n, 50 + n) for n in range(20)} | {(0, 70)} <= pairs and all(a < b for a, b in pairs)
+    fps = dict(rows)
+    assert all((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in pairs)
