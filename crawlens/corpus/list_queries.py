@@ -20,7 +20,7 @@ def _issues(spark, sf):
 
 
 def _pages(spark, sf):
-    return stage.audited(spark, sf).pages
+    return stage.graph(spark, sf)
 
 
 def _rules(spark):
@@ -111,7 +111,8 @@ def crawl_summary_top_issues(spark, sf):
 
 @query("open_rule_issues", sql("SELECT site_id, crawl_id, url FROM issues WHERE rule_code = 'THIN_CONTENT' AND status = 'open'"))
 def open_rule_issues(spark, sf):
-    return issues.open_site_issues(_issues(spark, sf), "THIN_CONTENT").select("site_id", "crawl_id", "url")
+    rule = "THIN_CONTENT"  # needs page columns alone
+    return issues.open_site_issues(stage.page_rule_issues(spark, sf, rule), rule).select("site_id", "crawl_id", "url")
 
 
 @query(
@@ -150,12 +151,12 @@ def page_list_exact(spark, sf):
 
 @query("pages_with_issues", sql("SELECT crawl_id, url FROM facts f WHERE EXISTS (SELECT 1 FROM issues i WHERE i.crawl_id = f.crawl_id AND i.url = f.url)"))
 def pages_with_issues(spark, sf):
-    return issues.filter_pages(_pages(spark, sf), PageQuery(has_issues=True), _issues(spark, sf)).select("crawl_id", "url")
+    return issues.filter_pages(_pages(spark, sf), PageQuery(has_issues=True), stage.found(spark, sf).issues).select("crawl_id", "url")
 
 
 @query("pages_without_issues", sql("SELECT crawl_id, url FROM facts f WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.crawl_id = f.crawl_id AND i.url = f.url)"))
 def pages_without_issues(spark, sf):
-    return issues.filter_pages(_pages(spark, sf), PageQuery(has_issues=False), _issues(spark, sf)).select("crawl_id", "url")
+    return issues.filter_pages(_pages(spark, sf), PageQuery(has_issues=False), stage.found(spark, sf).issues).select("crawl_id", "url")
 
 
 @query(

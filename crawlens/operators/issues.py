@@ -17,8 +17,8 @@ DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 50, 200
 TOP_ISSUES = 100
 
 
-def issue_rows(page_findings: DataFrame, crawl_findings: DataFrame, crawls: DataFrame) -> DataFrame:
-    """Page and crawl findings as one table of open issues with a deterministic id.
+def issue_rows(page_findings: DataFrame, crawl_findings: DataFrame | None, crawls: DataFrame) -> DataFrame:
+    """Page and crawl findings (None: of page rules alone) as one table of open issues with a deterministic id.
 
     ``crawls(crawl_id, site_id)`` supplies the site; it has one row per crawl.
     """
@@ -26,8 +26,9 @@ def issue_rows(page_findings: DataFrame, crawl_findings: DataFrame, crawls: Data
     single = page_findings.withColumn("sample_urls", F.array().cast("array<string>")).withColumn(
         "is_crawl_level", F.lit(False)
     )
-    whole = crawl_findings.withColumn("is_crawl_level", F.lit(True))
-    both = single.select(*columns).unionByName(whole.select(*columns))
+    both = single.select(*columns)
+    if crawl_findings is not None:
+        both = both.unionByName(crawl_findings.withColumn("is_crawl_level", F.lit(True)).select(*columns))
     return lookup(both, crawls.select("crawl_id", "site_id"), ["crawl_id"], F.xxhash64("page_id", "rule_code")).select(
         # A key of joins: 256 bits, of parts that can't run into each other.
         F.sha2(F.to_json(F.struct("crawl_id", "rule_code", "page_id", "found")), 256).alias("issue_id"),

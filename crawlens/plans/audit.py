@@ -59,6 +59,18 @@ def audit(
     return audit_tables(pages, links_, crawls, robots, sitemaps, vitals, assets, settings, rules, most_blocked)
 
 
+def graph_tables(pages: DataFrame, links_: DataFrame, assets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages with link counts, click depth and home flag; links with their targets), both written.
+
+    What needs no findings needs no more of an audit than this.
+    """
+    every = pages if assets is None else pages.unionByName(assets, allowMissingColumns=True)
+    resolved = cut(links.resolve_links(links_, every), "resolved")
+    depths = links.click_depths(resolved, pages)
+    graph = links.graph_pages(every, resolved, depths)
+    return cut(crawl_rules.with_home_flag(graph, crawl_rules.home_pages(pages)), "graph"), resolved
+
+
 def audit_tables(
     pages: DataFrame,
     links_: DataFrame,
@@ -70,15 +82,12 @@ def audit_tables(
     settings: frontier.CrawlSettings = frontier.CrawlSettings(),
     rules=page_rules.DEFAULT_RULES,
     most_blocked: int | None = None,
+    made: tuple[DataFrame, DataFrame] | None = None,
 ) -> Audit:
-    """The set-level part of ``audit`` over stored page and link tables."""
+    """The set-level part of ``audit`` over stored page and link tables; ``made``: their ``graph_tables``, where there are some."""
     single = page_rules.page_findings(page_rules.rule_input(pages, links_), rules)
-    every = pages if assets is None else pages.unionByName(assets, allowMissingColumns=True)
-    resolved = cut(links.resolve_links(links_, every), "resolved")
-    depths = links.click_depths(resolved, pages)
-    graph = links.graph_pages(every, resolved, depths)
+    graph, resolved = made or graph_tables(pages, links_, assets)
     homes = crawl_rules.home_pages(pages)
-    graph = cut(crawl_rules.with_home_flag(graph, homes), "graph")
 
     listed = blocked = None
     if robots is not None:
