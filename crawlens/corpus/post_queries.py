@@ -225,7 +225,7 @@ def template_choice(spark, sf):
     idx = F.col("idx")
     allowed = F.when(idx % 4 == 0, strings()).when(idx % 4 == 1, strings("quote")).when(idx % 4 == 2, strings("framed", "poster")).otherwise(strings("split", "label", "quote"))
     platform = F.when(idx % 3 == 0, F.lit("instagram")).when(idx % 3 == 1, F.lit("X")).otherwise(F.lit("other"))
-    return _pages(spark, sf).select(
+    return stage.page_rows(spark, sf).select(
         "crawl_id", "url", headlines.image_template(allowed, idx % 3 == 0, idx % 2 == 0, idx).alias("template"), catalogue.aspect_ratio(platform).alias("aspect")
     )
 
