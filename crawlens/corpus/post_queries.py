@@ -122,7 +122,7 @@ GROUP BY i.crawl_id, i.image, p.n HAVING p.n >= 4 AND count(*) > p.n * 0.3"""
 
 @query("site_wide_images", sql("SELECT crawl_id, image FROM wide", images=_IMAGES, wide=_WIDE))
 def site_wide_images(spark, sf):
-    return selection.site_wide_images(_pages(spark, sf))
+    return selection.site_wide_images(stage.page_rows(spark, sf))
 
 
 @query(
