@@ -245,7 +245,8 @@ def unique_posts(jobs: DataFrame, known: DataFrame, attempts: int = MAX_ATTEMPTS
     """
     # Page texts are split once per page, before the attempts multiply the rows.
     jobs = cut(jobs.repartition(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "job_id"), "post-jobs")
-    seen = known.select("site_id", F.sha2("body_key", 256).alias("body_hash")).distinct()
+    # Hashes of the whole history are made once; every round reads them.
+    seen = cut(known.select("site_id", F.sha2("body_key", 256).alias("body_hash")).distinct(), "seen")
     found, low, width, open_jobs = None, 0, 1, jobs
     while low < attempts:
         high = min(attempts, low + width)

@@ -93,6 +93,23 @@ def test_unique_posts(spark, jobs):
     assert all(again[k].body != bodies[k].body and again[k].attempt > bodies[k].attempt for k in bodies)
 
 
+def test_history_is_read_once(spark, jobs):
+    """However many rounds there are, known texts are read and hashed once."""
+    first = posts.unique_posts(jobs, spark.createDataFrame([], "site_id string, body_key string"))
+    keys = [(r.site_id, " ".join(r.body.lower().split())) for r in first.select("site_id", "body").collect()]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    known = spark.createDataFrame(keys, "site_id string, body_key string").mapInArrow(count, "site_id string, body_key string")
+    rounds = []
+    posts.unique_posts(jobs, known, rounds=rounds).collect()
+    assert len(rounds) > 1 and read.value == len(keys)
+
+
 def test_unique_posts_against_trying_one_by_one(spark, jobs):
     """With a history of ever more rotations, against a plain search over the texts of all of them."""
     every = jobs.withColumn("start", F.col("post_index")).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("post_index", F.col("start") + F.col("n"))
