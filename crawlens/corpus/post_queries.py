@@ -23,7 +23,7 @@ _BREAKS = "'[ \\n\\r\\t.,;:!?()\"''\\-/]+'"
 
 
 def _pages(spark, sf):
-    return stage.audited(spark, sf).pages
+    return stage.graph(spark, sf)
 
 
 def _tidy(x: str) -> str:
@@ -303,7 +303,9 @@ def social_posts(spark, sf):
 @query("unique_posts")
 def unique_posts(spark, sf):
     known = selection.known_bodies(_history(spark, sf))
-    return posts.unique_posts(_branded_jobs(spark, sf), known).select(*_POST_COLUMNS, "attempt", "repeated")
+    # Posts without hashtags: the jobs are written without what only those and other queries read of a page.
+    jobs = _branded_jobs(spark, sf).drop("p_tag_words", "main_text", "image_urls", "all_image_urls", "image_sizes", "og_data")
+    return posts.unique_posts(jobs, known).select(*_POST_COLUMNS, "attempt", "repeated")
 
 
 @query("prompts")
