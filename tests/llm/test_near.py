@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from crawlens import scale
 from crawlens.llm import chunk_dedup, decontaminate, minhash, toxicity
@@ -116,3 +117,41 @@ def test_fingerprints_within_two_bits_meet(spark):
     assert {(n, 50 + n) for n in range(20)} | {(0, 70)} <= pairs and all(a < b for a, b in pairs)
     fps = dict(rows)
     assert all((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in pairs)
+
+
+def test_sketches_never_part_similar_sets(spark):
+    r = np.random.default_rng(6)
+    rows, true = [], []
+    for size in (1, 4, 30, 200, 1023, 1025, 3000, 20_000):
+        for part in (0.0, 0.05, 0.1, 0.11, 0.112, 0.12, 0.3, 0.5):
+            for grown in (1.0, 1.1, 1.25, 1.3):
+                one = r.integers(0, 1 << 63, size, np.uint64)
+                fresh = r.integers(0, 1 << 63, round(size * grown), np.uint64)
+                other = np.unique(np.concatenate([one[: size - int(part * size)], fresh[: len(fresh) - size + int(part * size)]]))
+                one = np.unique(one)
+                shared = len(np.intersect1d(one, other))
+                true.append(shared / (len(one) + len(other) - shared))
+                rows.append((len(rows), len(one), minhash.sketch(one).tolist(), len(other), minhash.sketch(other).tolist()))
+    frame_ = spark.createDataFrame(rows, "i long, s long, w array<long>, os long, ow array<long>")
+    found = [x[0] for x in frame_.orderBy("i").select(minhash.can_be_similar(*map(F.col, ("s", "w", "os", "ow")))).collect()]
+    assert sum(s >= 0.8 for s in true) > 60 and all(f for f, s in zip(found, true) if s >= 0.8)
+    assert sum(s < 0.6 for s in true) > 40 and not any(f for f, s, row in zip(found, true, rows) if s < 0.6 and row[1] >= 30)
+    assert {len(x[2]) for x in rows} >= {16, 32, 64, 512}
+
+
+def test_texts_of_a_value_that_can_not_be_similar_are_not_held_against_each_other(spark, monkeypatch):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    base = [r.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(300):  # edited apart: two thirds are similar to no other
+        own = list(base)
+        for at in r.sample(range(200), r.choice([1, 2, 8, 10, 12, 12])):
+            own[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    kept, n = plain_kept(rows)
+    assert n > 4000 and 200 < len(kept) < 300
+    held, before = [], minhash._similar
+    monkeypatch.setattr(minhash, "_similar", lambda pairs, *rest: (held.append(pairs.count()), before(pairs, *rest))[1])
+    assert {x.doc_id for x in minhash.keep_one(frame(spark, rows)).collect()} == kept
+    assert sum(held[1:]) < 2 * n  # over 30 000 pairs share a value
