@@ -29,6 +29,7 @@ def tables(spark, tmp_path_factory):
     "name",
     [
         "dup_titles",
+        "dup_descriptions",
     ],
 )
 def test_rows_are_those_of_the_sql(spark, tables, name):
