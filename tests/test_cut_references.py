@@ -31,6 +31,7 @@ def tables(spark, tmp_path_factory):
         "dup_titles",
         "dup_descriptions",
         "dashboard_totals",
+        "dashboard_sites",
     ],
 )
 def test_rows_are_those_of_the_sql(spark, tables, name):
