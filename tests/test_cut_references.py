@@ -34,6 +34,7 @@ def tables(spark, tmp_path_factory):
         "dashboard_totals",
         "dashboard_sites",
         "crawl_compare_summary",
+        "crawl_compare_issues",
     ],
 )
 def test_rows_are_those_of_the_sql(spark, tables, name):
