@@ -541,7 +541,7 @@ def _arrived(spark, sf):
 
 def _sizes(spark, sf):
     """Written once: every micro-batch looks them up."""
-    return stage.once(spark, sf, "sizes", lambda: cut(stage.image_sizes(stage.pages(spark, sf)), "sizes"))
+    return stage.once(spark, sf, "sizes", lambda: cut(stage.image_sizes(stage.page_rows(spark, sf)), "sizes"))
 
 
 @query("streaming_audit", sql("SELECT crawl_id, url, rule_code, found FROM page_findings"))
@@ -569,7 +569,7 @@ def streaming_crawl_end(spark, sf):
 
     def run(ended, facts):
         pages = streams.FS.page_rows(facts).withColumn("is_asset", F.lit(False))
-        pages = cut(streams.FS.measured_images(pages, _sizes(spark, sf)), "pages")
+        pages = cut(streams.FS.measured_images(pages, stage.image_sizes(pages)), "pages")
         own = crawls.join(ended, "crawl_id", "left_semi")
         found = audit_tables(pages, cut(streams.FS.link_rows(facts), "links"), own, inputs.load(spark, sf, "robots"), stage.sitemaps(spark, sf), stage.crawl_vitals(spark, sf), most_blocked=stage.MOST_BLOCKED)
         return found.issues.join(found.pages.select("crawl_id", "page_id", "url"), ["crawl_id", "page_id"])

@@ -45,29 +45,35 @@ def until_end(events: DataFrame, parts: int = 64) -> DataFrame:
     """
     ends = F.coalesce(F.col("event") == END, F.lit(False))
     own = F.array(F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int"))
-    dealt = events.withColumn("_hash", U.url_hash(F.col("url"))).withColumn("_part", F.explode(F.when(ends, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(own)))
-    columns = events.columns
+    # A row goes through Python as one value: with a column each, the columns of a few rows a key cost more than the rows.
+    dealt = events.select(
+        F.struct(*events.columns).alias("row"), "crawl_id", U.url_hash(F.col("url")).alias("_hash"), ends.alias("_ends"),
+        F.explode(F.when(ends, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(own)).alias("_part"),
+    )
 
     def arrivals(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = set(state.get[0]) if state.exists else set()
         end = None
         for frame in frames:
-            closing = frame["event"] == END
-            if closing.any():
-                end = frame[closing].head(1)
-            new = frame[~closing].drop_duplicates("_hash")
-            new = new[~new["_hash"].isin(seen)]
-            seen.update(new["_hash"])
-            yield new[columns]
+            new = []
+            for i, (url, closing) in enumerate(zip(frame["_hash"], frame["_ends"])):
+                if closing:
+                    end = frame[["row"]].iloc[[i]]
+                elif url not in seen:
+                    seen.add(url)
+                    new.append(i)
+            if new:
+                yield frame[["row"]].iloc[new]
         if end is None:
             state.update((list(seen),))
             return
         if state.exists:
             state.remove()
         if key[1] == 0:
-            yield end[columns]
+            yield end
 
-    return dealt.groupBy("crawl_id", "_part").applyInPandasWithState(arrivals, events.schema, "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    arrived = dealt.groupBy("crawl_id", "_part").applyInPandasWithState(arrivals, dealt.select("row").schema, "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return arrived.select("row.*")
 
 
 def audit_on_end(
@@ -76,19 +82,28 @@ def audit_on_end(
     """Store the facts of arriving documents; when a crawl ends, audit it once.
 
     ``run(ended, facts)`` gets the ids of the crawls that ended in a micro-batch and all their facts, and gives rows
-    with a crawl_id, which replace those crawls under ``path``/audited. Facts stand under ``path``/facts by crawl and
-    batch. A replayed batch replaces what it wrote before, so facts and audits are there once.
+    with a crawl_id, which replace those crawls under ``path``/audited. Facts stand under ``path``/facts by batch, so
+    files grow with tasks and not with crawls; an audit reads the batches that its crawls arrived in. It runs in the
+    session of ``events``: a stream with state has one of its own, where plans do not adapt to sizes. A replayed batch
+    replaces what it wrote before, so facts and audits are there once.
     """
+    spark = events.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         facts = FS.page_facts(FS.extract(batch)).withColumn("batch_id", F.lit(batch_id))
-        sinks.replace_partitions(facts, f"{path}/facts", ["crawl_id", "batch_id"])
-        stored = batch.sparkSession.read.schema(facts.schema).parquet(f"{path}/facts")
-        ended = stored.where((F.col("batch_id") == batch_id) & (F.col("event") == END)).select("crawl_id").distinct()
-        if not ended.isEmpty():
-            whole = stored.where(F.col("event").isNull()).join(ended, "crawl_id", "left_semi").drop("batch_id", "event")
+        sinks.replace_partitions(facts, f"{path}/facts", ["batch_id"])
+        stored = spark.read.schema(facts.schema).parquet(f"{path}/facts")
+        ends = stored.where(F.col("event") == END)
+        ended = cut(ends.where(F.col("batch_id") == batch_id).select("crawl_id").distinct(), "ended")
+        if ended.isEmpty():
+            return
+        own = stored.join(ended, "crawl_id", "left_semi")
+        batches = [r.batch_id for r in own.select("batch_id").distinct().collect()]
+        whole = own.where(F.col("batch_id").isin(batches) & F.col("event").isNull()).drop("batch_id", "event")
+        if not ends.where(F.col("batch_id") < batch_id).join(ended, "crawl_id", "left_semi").isEmpty():
             # A URL that came again after an earlier end of its crawl counts once.
-            audit_finished(ended, lambda crawls: run(crawls, whole.dropDuplicates(["crawl_id", "url_hash"])), f"{path}/audited")
+            whole = cut(whole.dropDuplicates(["crawl_id", "url_hash"]), "facts")
+        audit_finished(ended, lambda crawls: run(crawls, whole), f"{path}/audited")
 
     return until_end(events, parts).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
