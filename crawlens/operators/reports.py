@@ -105,10 +105,11 @@ def rule_impacts(issues: DataFrame, crawls: DataFrame, attribution: str = "page_
         F.any_value("pages_crawled").alias("pages_crawled"),
         F.any_value(F.coalesce(F.try_element_at("scoring_snapshot", F.concat(F.lit("category_weight_"), "category")), F.lit(0))).alias("weight"),
     )
-    per_page = (F.col("page_penalty").cast(_DEC) / F.greatest(F.col("pages_crawled"), F.lit(1))).cast(_DEC)
+    pages = F.greatest(F.col("pages_crawled"), F.lit(1))
+    # One division at the end: a decimal times an integer column loses digits to the column's possible size.
+    total = (F.col("page_penalty") + F.col("site_penalty") * pages.cast("bigint")) * F.col("weight")
     return sums.select(
-        "crawl_id", "rule_code", "severity_rank", "issue_count", "page_count",
-        ((per_page + F.col("site_penalty")) * F.col("weight")).cast(_DEC).alias("impact"),
+        "crawl_id", "rule_code", "severity_rank", "issue_count", "page_count", (total.cast(_DEC) / pages).alias("impact")
     )
 
 
@@ -135,7 +136,7 @@ def priorities(impacts: DataFrame, rules: DataFrame) -> DataFrame:
             F.when(F.col("page_count") > 0, F.concat(F.col("page_count").cast("string"), F.lit(" sayfa")))
             .otherwise(F.lit("site geneli")).alias("scope"),
             F.when(F.col("top_impact") <= 0, 0).otherwise(
-                F.bround(F.col("impact") / F.col("top_impact") * 100, 0)
+                F.bround(F.col("impact").cast(_DEC) / F.col("top_impact").cast(_DEC) * 100, 0)
             ).cast("int").alias("bar_width"),
             step.alias("first_step"), more.alias("more_steps"), "doc_url",
         )
